@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -16,10 +18,11 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_palaver_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as tmp:
-        path = os.path.join(tmp, "palaver_sources.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(path)
+    kept = tempfile.TemporaryDirectory(prefix="palaver-sources-")  # executors fetch it from the driver at any time
+    atexit.register(kept.cleanup)
+    path = os.path.join(kept.name, f"palaver_sources_{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(path)
     sc._palaver_shipped = True
