@@ -14,6 +14,7 @@ only id is the end id. Rows with equal ids are packed each.
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -55,6 +56,24 @@ def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)  # not by BLAS, whose threads wait for one another on a busy driver
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots."""
+    m = len(matrix)
+    both = np.hstack((matrix, np.eye(m)))
+    for k in range(m):
+        p = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= np.outer(factor, both[k])
+    return both[:, m:]
+
+
 def columns(demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often to use each: the optimum of the linear program (or what ``rounds`` pivots reach)."""
     bins = np.flatnonzero(demand)
@@ -63,7 +82,7 @@ def columns(demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple
     m, need = len(bins), demand[bins].astype(float)
     basis = np.diag((capacity // (bins + 1)).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    use = inverse @ need
+    use = _times(inverse, need)
     for step in range(rounds):
         dual = inverse.sum(axis=0)
         prices = np.zeros(capacity)
@@ -72,7 +91,7 @@ def columns(demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple
         if worth <= 1 + 1e-7:
             break
         enter = pattern[bins].astype(float)
-        way = inverse @ enter
+        way = _times(inverse, enter)
         up = way > 1e-9
         if not up.any():
             break
@@ -83,9 +102,9 @@ def columns(demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple
         use = use - theta * way
         use[out] = theta
         basis[:, out] = enter
-        if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            use = np.maximum(inverse @ need, 0)
+        if step % 500 == 499:
+            inverse = _inverse(basis)
+            use = np.maximum(_times(inverse, need), 0)
         else:
             row = inverse[out] / way[out]
             inverse = inverse - np.outer(way, row)
@@ -130,29 +149,52 @@ def plan(demand: np.ndarray, capacity: int) -> pd.DataFrame:
 # ---------------------------------------------------------------- Spark
 
 
-def _pieces(batches: Iterator[pd.DataFrame], vocabulary: str, size: int) -> Iterator[pd.DataFrame]:
-    from tokenizers import Tokenizer
+class Ids:
+    """Token ids by the vocabulary file; the same vocabulary as ranks gives the same ids several times faster."""
+
+    def __init__(self, vocabulary: str, ranks: str | None):
+        self.vocabulary, self.slow, self.fast = vocabulary, None, None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(x): int(n) for x, n in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={"<|endoftext|>": len(table)})
+
+    def __call__(self, text: str) -> list[int]:
+        if self.fast is not None:
+            try:
+                return self.fast.encode(text, allowed_special="all")
+            except Exception:  # a run of white space too long for its pattern engine
+                pass
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.vocabulary)
+        return self.slow.encode(text, add_special_tokens=False).ids
+
 
-    tokenizer = Tokenizer.from_file(vocabulary)
+def _pieces(batches: Iterator[pd.DataFrame], vocabulary: str, ranks: str | None, size: int) -> Iterator[pd.DataFrame]:
+    encode = Ids(vocabulary, ranks)
     for pdf in batches:
         rows = []
-        texts = [t or "" for t in pdf["text"]]
-        for id, text in zip(pdf["id"], texts, strict=True):
-            ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, END], dtype="<u4")
+        for id, text in zip(pdf["id"], pdf["text"], strict=True):
+            ids = np.array([*encode(text or ""), END], dtype="<u4")
             for a in range(0, len(ids), size):
                 part = ids[a : a + size]
                 rows.append((id, a, len(part), zlib.crc32(part.tobytes()), len(ids)))
         yield pd.DataFrame(rows, columns=["id", "start", "length", "ids_crc32", "doc_tokens"])
 
 
-def pack(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", size: int = SIZE, unit: int = UNIT) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, id: str = "doc_id", text: str = "text", size: int = SIZE, unit: int = UNIT) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (all long)."""
     spark = docs.sparkSession
     text_batches(spark)
     kind = dict(docs.dtypes)[id]
     own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = stage(own.mapInPandas(lambda it: _pieces(it, vocabulary, size), schema))
+    pieces = stage(own.mapInPandas(lambda it: _pieces(it, vocabulary, ranks, size), schema))
     full = pieces.where(F.col("length") == size)
     tails = pieces.where(F.col("length") < size).withColumn("bin", F.ceil(F.col("length") / unit).cast("int") - 1)
 
@@ -207,4 +249,4 @@ def op7_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
