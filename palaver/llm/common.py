@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -30,12 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stage(df: DataFrame, schema: bool = False) -> DataFrame:
+def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, executors may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._stage_path = path
+    return staged
+
+
+def release(spark: SparkSession, *staged: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop shuffle files that nothing refers to.
+
+    Only for tables all of whose results are themselves written: a lost executor then asks for none of them again.
+    """
+    jvm = spark.sparkContext._jvm
+    for df in staged:
+        path = jvm.org.apache.hadoop.fs.Path(df._stage_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()  # Spark's cleaner follows the driver's garbage collection
 
 
 def text_batches(spark: SparkSession) -> None:

@@ -6,8 +6,8 @@ Every byte that lies in a ``length``-byte string that also starts anywhere else
    polynomial hash is an anchor. The choice depends on the window alone, so two equal windows have
    equal anchors at the same place; about two positions in 340 are anchors. An anchor's context is
    all that any window around it can hold: up to ``length - GRAM`` bytes before it and ``length`` from it on.
-2. Anchors whose strings occur once are dropped. Contexts that are equal as a whole (128-bit digest)
-   are combined before the shuffle: they are covered, however many copies there are.
+2. Anchors whose strings occur once are dropped. Contexts that are equal as a whole (64 bits of the
+   anchor's string and 64 of the context) are combined before the shuffle: they are covered, however many copies there are.
 3. The different contexts of one anchor are suffix-sorted to the right and, reversed, to the left: a
    mergesort whose comparisons find the common extension by binary search over prefix polynomial hashes.
    Neighbours' extensions are checked byte by byte; a collision repeats the sort with another base.
@@ -15,7 +15,8 @@ Every byte that lies in a ``length``-byte string that also starts anywhere else
    d to the left and ``length - d`` to the right; runs of the two orders tell which do, for each d.
 4. An anchor with over ``GROUP`` different contexts (a passage that very many documents share) isn't
    gathered: its range of d is halved again and again, the members keyed by the bytes that all windows
-   of a half have in common; what is alone drops out, what is equal as a whole is covered. Counts are combined before the shuffle.
+   of a half have in common. What is alone drops out, what is equal as a whole is covered, and groups that have become
+   small enough are sorted as in 3 for their part of d. Counts are combined before the shuffle.
 
 Matches never cross rows. Null and empty texts have no bytes; texts shorter than ``length`` lose
 nothing. Rows equal in id and text are copies of each other like any equal texts.
@@ -32,16 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import stage, text_batches
+from palaver.llm.common import release, stage, text_batches
 
 LENGTH = 400
 GRAM = 64
 #: Bytes that are hashed at a time, whatever the length of a text.
 PIECE = 1 << 19
 #: Different contexts of one anchor that are sorted together; beyond it they are split.
-GROUP = 512
+GROUP = 8192
 #: Contexts that one sort takes at least, of many anchors.
-SORTED = 4096
+SORTED = 2048
 
 BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOW = np.uint64((1 << 24) - 1)
@@ -121,13 +122,12 @@ def _found(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
         for i, p in anchors(texts, length):
             t = texts[i]
             left, right = min(p, length - GRAM), min(length, len(t) - p)
-            digest = xxhash.xxh3_128_digest(t[p - left : p + right] + bytes((left & 255, left >> 8)))
-            rows.append((xxhash.xxh64_intdigest(t[p : p + GRAM]), digest, i, p, left, right))
+            rows.append((xxhash.xxh64_intdigest(t[p : p + GRAM]), xxhash.xxh3_64_intdigest(t[p - left : p + right], left), i, p, left, right))
         if rows:
             g, c, i, p, left, right = zip(*rows, strict=True)
-            c = np.frombuffer(b"".join(c), dtype="<i8").reshape(-1, 2)
             i = np.array(i)
-            yield pd.DataFrame({"g": np.array(g, dtype=np.uint64).view(np.int64), "c1": c[:, 0], "c2": c[:, 1], "k1": k1[i], "k2": k2[i], "pos": p, "l": left, "r": right})
+            g, c = (np.array(x, dtype=np.uint64).view(np.int64) for x in (g, c))
+            yield pd.DataFrame({"g": g, "c": c, "k1": k1[i], "k2": k2[i], "pos": p, "l": left, "r": right})
 
 
 # ---------------------------------------------------------------- suffix sort
@@ -242,6 +242,9 @@ def _compared(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataF
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         shared = shared_windows(pdf["g"].to_numpy(), list(pdf["ctx"]), pdf["l"].to_numpy(np.int64), pdf["r"].to_numpy(np.int64), length)
+        if "lo" in pdf:
+            d = np.arange(shared.shape[1])
+            shared &= (d >= pdf["lo"].to_numpy()[:, None]) & (d < pdf["hi"].to_numpy()[:, None])
         row, a, b = _covered(shared, pdf["pos"].to_numpy(np.int64), length)
         return pd.DataFrame({"k1": pdf["k1"].to_numpy()[row], "k2": pdf["k2"].to_numpy()[row], "a": a, "b": b})
 
@@ -262,9 +265,15 @@ def _compared(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataF
 # ---------------------------------------------------------------- plan
 
 
-def _halved(hot: DataFrame, length: int) -> DataFrame | None:
+def _sorted(rows: DataFrame, length: int) -> DataFrame:
+    """Covered ranges (k1, k2, a, b) of contexts, by suffix sorts of whole groups ``g``."""
+    alike = rows.repartition("g").sortWithinPartitions("g")
+    return alike.mapInPandas(lambda it: _compared(it, length), "k1 long, k2 long, a int, b int")
+
+
+def _halved(hot: DataFrame, length: int, group: int) -> DataFrame | None:
     """Covered ranges of contexts whose anchors have too many of them for one sort."""
-    found, span = None, length - GRAM + 1
+    found, small, span = None, None, length - GRAM + 1
     state = hot.select("*", F.lit(0).alias("lo"), F.lit(span).alias("hi"))
     keys = ["lo", "hi", "i1", "i2"]
     while not state.isEmpty():
@@ -282,13 +291,15 @@ def _halved(hot: DataFrame, length: int) -> DataFrame | None:
             F.struct(F.xxhash64(before, outer).alias("u"), F.xxhash64(F.lit(1), outer, before).alias("v")).alias("u"),
         )
         many = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("n > 1")
-        met = stage(rows.drop("u").join(many.select(*keys, (F.col("u0") == F.col("u1")).alias("even")), keys))
+        met = stage(rows.drop("u").join(many.select(*keys, "n", (F.col("u0") == F.col("u1")).alias("even")), keys))
         done = F.col("even") | (F.col("hi") - F.col("lo") == 1)
         low, high = F.greatest(F.col("lo"), length - F.col("r")), F.least(F.col("hi") - 1, F.col("l"))
         ranges = met.where(done & (low <= high)).select("k1", "k2", (F.col("pos") - high).alias("a"), (F.col("pos") - low + length).alias("b"))
         found = ranges if found is None else found.unionByName(ranges)
-        state = met.where(~done).select(*hot.columns, "lo", "hi")
-    return found
+        few = met.where(~done & (F.col("n") <= group)).select(F.col("i1").alias("g"), "k1", "k2", "pos", "l", "r", "ctx", "lo", "hi")
+        small = few if small is None else small.unionByName(few)
+        state = met.where(~done & (F.col("n") > group)).select(*hot.columns, "lo", "hi")
+    return None if found is None else found.unionByName(_sorted(small, length))
 
 
 def keyed(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -301,29 +312,32 @@ def repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFr
     spark = docs.sparkSession
     text_batches(spark)
     docs = docs.select("k1", "k2", "text")
-    rows = "g long, c1 long, c2 long, k1 long, k2 long, pos int, l int, r int"
-    found = stage(docs.where(F.octet_length("text") >= length).mapInPandas(lambda it: _found(it, length), rows))
-    many = found.groupBy("g").count().where("count > 1").select("g")
-    found = stage(found.join(many, "g"))
-    digest = ["g", "c1", "c2"]
+    rows = "g long, c long, k1 long, k2 long, pos int, l int, r int"
+    every = stage(docs.where(F.octet_length("text") >= length).mapInPandas(lambda it: _found(it, length), rows))
+    many = every.groupBy("g").count().where("count > 1").select("g")
+    found = stage(every.join(many, "g"))
+    release(spark, every)
     rep = F.min(F.struct("k1", "k2", "pos", "l", "r"))
-    kinds = stage(found.groupBy(*digest).agg(F.count(F.lit(1)).alias("n"), rep.alias("rep")))
-    whole = found.where(F.col("l") + F.col("r") >= length).join(kinds.where("n > 1").select(*digest), digest)
+    kinds = stage(found.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), rep.alias("rep")))
+    whole = found.where(F.col("l") + F.col("r") >= length).join(kinds.where("n > 1").select("g", "c"), ["g", "c"])
     whole = whole.select("k1", "k2", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))
-
+    whole = stage(whole)
     several = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     wanted = kinds.join(several, "g").select("g", "rep.*", (F.col("kinds") > group).alias("hot"))
     wanted = stage(wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "pos", "l", "r", "hot")).alias("want")))
+    release(spark, found, kinds)
     parts = docs.join(wanted, ["k1", "k2"]).select("k1", "k2", F.encode("text", "UTF-8").alias("bytes"), F.explode("want").alias("w"))
     parts = parts.select("k1", "k2", "w.*", F.substring("bytes", F.col("w.pos") - F.col("w.l") + 1, F.col("w.l") + F.col("w.r")).alias("ctx"))
     contexts = stage(parts)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    alike = contexts.where("not hot").select("g", "k1", "k2", "pos", "l", "r", "ctx").repartition("g").sortWithinPartitions("g")
-    ranges = whole.unionByName(alike.mapInPandas(lambda it: _compared(it, length), "k1 long, k2 long, a int, b int"))
-    more = _halved(contexts.where("hot").select("g", "k1", "k2", "pos", "l", "r", "ctx"), length)
+    release(spark, wanted)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    names = ["g", "k1", "k2", "pos", "l", "r", "ctx"]
+    ranges = whole.unionByName(_sorted(contexts.where("not hot").select(*names), length))
+    more = _halved(contexts.where("hot").select(*names), length, group)
     if more is not None:
         ranges = ranges.unionByName(more)
     spans = stage(ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    release(spark, whole, contexts)
     text_batches(spark)
     return spans
 
