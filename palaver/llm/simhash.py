@@ -184,6 +184,13 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", radius: i
     return rows.join(named, "fp", "left").select(F.col("id").alias(id), "fp", "component_id")
 
 
+def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """Of each group of near copies the row with the smallest id, all columns; rows without an id can't be named and stay."""
+    named = df.where(F.col(id).isNotNull())
+    kept = near_groups(named, id, text, radius).where(F.col(id) == F.col("component_id")).select(id).distinct()
+    return named.join(kept, id, "left_semi").dropDuplicates([id]).select(*df.columns).unionByName(df.where(F.col(id).isNull()))
+
+
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
