@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 FACET = "struct<name:string,value_text:string>"
 ENTITY = f"struct<name:string,type:array<string>,facets:array<{FACET}>>"
 ACTION = (
@@ -19,7 +17,7 @@ RELATIONS = "term string, related string, relation string, rank int"
 CHUNKS = "chunk_pos bigint, id string, text string, metadata map<string,string>, embedding array<double>"
 
 #: The document that an index is exported to and loaded from.
-EXPORT = T.StructType.fromDDL(
+EXPORT = (
     "indexData struct<items:array<struct<term:string,semanticRefOrdinals:array<struct<semanticRefOrdinal:bigint,score:double>>>>>,"
     "semanticRefs array<struct<semanticRefOrdinal:bigint,messageOrdinal:bigint,knowledgeType:string,knowledge:string>>,"
     "messages array<struct<ordinal:bigint,content:string,timestamp:string>>,"
