@@ -28,7 +28,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING = 0.85
-ROUNDS = 12
+ROUNDS = 20
+MOVED = 1e-6
 THRESHOLD = 1.0
 
 
@@ -64,16 +65,23 @@ def edges(pages: DataFrame) -> DataFrame:
 
 
 def pagerank(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank) from ``seeds`` (host, w summing to 1) along ``links`` (a, b, n). Rank that ends in a host without links goes back to the seeds."""
+    """(host, rank) from ``seeds`` (host, w summing to 1) along ``links`` (a, b, n); what reaches a host without links ends there.
+
+    Rounds end when ranks move by less than ``MOVED`` in all, or after ``rounds``.
+    """
     out = links.groupBy("a").agg(F.sum("n").alias("all"))
-    share = stage(links.join(out, "a").select("a", "b", (F.col("n") / F.col("all")).alias("share")))
+    share = stage(links.join(out, "a").select(F.col("a").alias("host"), "b", (F.col("n") / F.col("all") * damping).alias("share")))
+    zero = F.lit(0.0)
     rank = seeds.select("host", F.col("w").alias("rank"))
     for _ in range(rounds):
-        flow = rank.join(share, rank["host"] == share["a"]).groupBy("b").agg(F.sum(F.col("rank") * F.col("share") * damping).alias("flow"))
-        flow = stage(flow.select(F.col("b").alias("host"), "flow"))
-        kept = flow.agg(F.coalesce(F.sum("flow"), F.lit(0.0)).alias("x")).collect()[0]["x"]  # one number
-        back = seeds.select("host", (F.col("w") * (1.0 - kept)).alias("flow"))
-        rank = stage(flow.unionByName(back).groupBy("host").agg(F.sum("flow").alias("rank")))
+        flow = rank.join(share, "host").select(F.col("b").alias("host"), (F.col("rank") * F.col("share")).alias("rank"), zero.alias("old"))
+        back = seeds.select("host", (F.col("w") * (1.0 - damping)).alias("rank"), zero.alias("old"))
+        were = rank.select("host", zero.alias("rank"), F.col("rank").alias("old"))
+        after = stage(flow.unionByName(back).unionByName(were).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old")))
+        moved = after.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), zero).alias("x")).collect()[0]["x"]  # one number
+        rank = after.select("host", "rank")
+        if moved < MOVED:
+            break
     return rank
 
 
