@@ -46,6 +46,12 @@ def _seeds(words: str) -> Column:
     return F.array(*[of(m) for m in MASKS])
 
 
+def _runs(n: int) -> Column:
+    """An array of (hash, position) for all runs of ``n`` words."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0)))
+    return F.transform(starts, lambda i: F.struct(F.xxhash64(F.lit(n), F.array_join(F.slice(F.col("words"), i + 1, n), " ")).alias("h"), i.alias("shift")))
+
+
 def _hashes(df: DataFrame, id: str) -> DataFrame:
     """id, position, hash: a row for each mask and position."""
     by_mask = df.select(id, F.explode(_seeds("words")).alias("h"))
@@ -75,13 +81,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
     if not short.isEmpty():  # few words: the sequence itself is the seed, whatever its length
         sizes = sorted(r.n for r in short.select("n").distinct().collect())  # fewer than ``longest``
         whole = short.select("item_id", F.xxhash64("n", F.array_join("words", " ")).alias("h"))
-        runs = F.flatten(F.array(*[
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size("words") - n, F.lit(0))),
-                lambda i, n=n: F.struct(F.xxhash64(F.lit(n), F.array_join(F.slice(F.col("words"), i + 1, n), " ")).alias("h"), i.alias("shift")),
-            )
-            for n in sizes
-        ]))
+        runs = F.flatten(F.array(*[_runs(n) for n in sizes]))
         at = own.select("id", F.explode(runs).alias("x")).select("id", "x.h", "x.shift")
         hits = hits.unionByName(at.join(whole, "h").select("id", "item_id", "shift"))
     hits = stage(hits.distinct())

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import SPACE
+from palaver.llm.common import SPACE, fresh
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -80,17 +80,26 @@ def _repeated_words(windows: Column) -> Column:
     )
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with one struct column ``m`` of counts and ratios of the text column."""
+def _once(c: Column) -> Column:
+    """``c``, computed once for a row: an expression that isn't deterministic is never copied into what reads it.
+
+    Without it a filter on a verdict moves below the projection and takes the word list along, for each word anew.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
+def measures(df: DataFrame, text: str = "text", into: str = "m") -> DataFrame:
+    """``df`` with one struct column ``into`` of counts and ratios of the text column."""
+    words, lines, windows, counted = fresh(df, "words", "lines", "windows", "counted")
     t = F.coalesce(F.col(text), F.lit(""))
     # columns of their own keep a text from being split once for each measure
     base = df.select(
         *[F.col(c) for c in df.columns],
-        F.filter(F.split(t, SPACE), lambda w: w != "").alias("__words"),
-        F.filter(F.split(t, "\n"), lambda x: F.char_length(F.translate(x, BLANKS, "")) > 0).alias("__lines"),
+        _once(F.filter(F.split(t, SPACE), lambda w: w != "")).alias(words),
+        _once(F.filter(F.split(t, "\n"), lambda x: F.char_length(F.translate(x, BLANKS, "")) > 0)).alias(lines),
     )
-    w, lines = F.col("__words"), F.col("__lines")
-    counts = base.withColumn("__windows", _windows(w)).select(
+    w, lines = F.col(words), F.col(lines)
+    counts = base.withColumn(windows, _once(_windows(w))).select(
         *[F.col(c) for c in df.columns],
         F.struct(
             F.size(w).cast("long").alias("n_words"),
@@ -98,14 +107,14 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
             _count(t, SYMBOLS).cast("long").alias("n_symbols"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             F.size(lines).cast("long").alias("n_lines"),
-            _repeated_words(F.col("__windows")).cast("long").alias("n_repeat_words"),
+            _repeated_words(F.col(windows)).cast("long").alias("n_repeat_words"),
             _count(t, "!").cast("long").alias("n_shouts"),
             F.char_length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
             F.char_length(F.regexp_replace(t, r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop"),
-        ).alias("c"),
+        ).alias(counted),
     )
-    c = F.col("c")
+    c = F.col(counted)
     per = lambda a, b: F.coalesce(c[a] / F.nullif(c[b], F.lit(0)), F.lit(0.0))
     return counts.select(
         *[F.col(x) for x in df.columns],
@@ -118,7 +127,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
             per("n_letters", "word_chars").alias("letter_share"),
             per("n_stop", "n_words").alias("stop_share"),
             per("n_dup_lines", "n_lines").alias("dup_line_share"),
-        ).alias("m"),
+        ).alias(into),
     )
 
 
@@ -137,17 +146,19 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
     A column of ``df`` that is called ``quality`` is replaced. Null and empty texts have no words and fail the base rule.
     """
     rest = [c for c in df.columns if c != "quality"]
-    seen = measures(df.select(*[F.col(f"`{c}`") for c in rest]), text)
-    m = F.col("m")
+    own = df.select(*[F.col(f"`{c}`") for c in rest])
+    into, failing, breaking = fresh(own, "m", "failed", "broken")
+    seen = measures(own, text, into)
+    m = F.col(into)
     failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-    judged = seen.select(*rest, "m", failed.alias("f"), compile_rules(rules, m).alias("b"))
+    judged = seen.select(*rest, into, failed.alias(failing), compile_rules(rules, m).alias(breaking))
     return judged.select(
         *rest,
         F.struct(
             *[m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-            F.col("f").alias("base_failed"),
-            F.col("b").alias("broken"),
-            (~F.col("f") & (F.size("b") == 0)).alias("kept"),
+            F.col(failing).alias("base_failed"),
+            F.col(breaking).alias("broken"),
+            (~F.col(failing) & (F.size(breaking) == 0)).alias("kept"),
         ).alias("quality"),
     )
 
