@@ -3,8 +3,8 @@
 Texts are lower-cased and cut into words of letters and digits. A mask selects six of the words of
 a short span and ignores the others; equal hashes of selected words in a document and in a
 benchmark item are a hit. A hit fixes how item and document lie on each other; around it the words
-are compared in place, and an overlap of ``WINDOW`` words (all of a shorter item) of which four
-fifths agree marks the document. The two masks were found by search over all pairs of
+are compared in place, and an overlap of ``WINDOW`` words of which four fifths agree, or of all words
+of a shorter item, marks the document. The two masks were found by search over all pairs of
 positions: whichever two of 13 words are replaced, one of the masks fits beside them, so
 an overlap with up to two substitutions can't be missed.
 
@@ -24,8 +24,8 @@ from palaver.llm.common import stage
 #: Selected positions. Fixed values, together complete for two substitutions in 13 words.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW = 13
-#: Words of a window that must agree: 11 of 13.
-SHARE = 0.8
+#: Words of a window that must agree: four fifths of it.
+NEEDED = 11
 #: Rows of the hash table, or of hits, that may be sent to every executor; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -102,7 +102,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
         ),
     )
     best = pairs.select("id", "item_id", "shift", "w", F.array_max(sums).alias("best"))
-    best = best.where(F.col("best.agree") >= F.ceil(F.lit(SHARE) * F.col("w")))
+    best = best.where(F.col("best.agree") >= F.when(F.col("w") < WINDOW, F.col("w")).otherwise(NEEDED))
     least = F.max(F.struct("best.agree", (-(F.col("shift") - F.col("best.at"))).alias("begin"), "w")).alias("m")
     return best.groupBy("id", "item_id").agg(least).select(
         F.col("id").alias(id), "item_id", (-F.col("m.begin")).cast("long").alias("begin"), F.col("m.w").cast("long").alias("length"), F.col("m.agree").cast("long").alias("agree")
