@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palaver.functions import chunking, temporal, vectors
-from palaver.operators import collections, expand, ingest, postings, vector_index
+from palaver.operators import collections, expand, ingest, postings, rag, vector_index
 from palaver.plans import context, query_ir, scope
 from palaver.sources import corpora
 
@@ -558,6 +558,28 @@ def v_ann_cells(spark, d):
     return index.search(index.assign(chunks), _query_vector(spark, d)).select("chunk_pos", F.round("distance", 6).alias("distance"))
 
 
+@query("SELECT o_orderkey AS message_ordinal, 'msg-' || o_orderkey || '-0' AS id, c_name || ' placed order ' || o_orderkey AS text, o_orderkey::VARCHAR AS ordinal, 'orders' AS source FROM orders JOIN customer ON o_custkey = c_custkey")
+def i_message_chunks(spark, d):
+    rows = rag.from_messages(corpora.messages(corpora.order_knowledge(spark, d)), {"source": "orders"})
+    return rows.select("message_ordinal", "id", "text", F.col("metadata")["messageOrdinal"].alias("ordinal"), F.col("metadata")["source"].alias("source"))
+
+
+@query()
+def n_message_text(spark, d):
+    turns = corpora.read(spark, d, "conversations")
+    numbered = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_ordinal"), F.array("text").alias("text_chunks"))
+    asked = " ".join(turns.where("conv_id = 0 and turn = 0").select("text").collect()[0][0].split()[:20])
+    return rag.lookup_messages(numbered, asked)
+
+
+@query()
+def n_threads(spark, d):
+    threads = rag.Threads(spark)
+    for k, name in enumerate(["orders of the building trade", "complaints about late orders", "holiday plans"]):
+        threads.add(name, k * 10, k * 10 + 9)
+    return threads.lookup("late orders").select("id", "description", F.round("score", 6).alias("score"))
+
+
 # ---------------------------------------------------------------- statistics
 
 

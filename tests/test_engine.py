@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palaver import providers, tools
 from palaver.functions import chunking, temporal, vectors
-from palaver.operators import collections, expand, ingest, postings, vector_index
+from palaver.operators import collections, expand, ingest, postings, rag, vector_index
 from palaver.plans import context, query_ir, scope
 from palaver.schemas import ACTION, ENTITY, TOPIC
 from palaver.sources import documents
@@ -227,3 +227,26 @@ def test_ordinals_in_state(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("conv_id").agg(F.sort_array(F.collect_list("message_ordinal")).alias("o")).collect()
     assert sorted(len(r.o) for r in got) == [6, 7, 7] and all(list(r.o) == list(range(len(r.o))) for r in got)
+
+
+def test_chunk_index(spark, talk, tmp_path):
+    index = rag.RagIndex(spark, str(tmp_path / "rag"), size=14, overlap=0)
+    assert index.size() == 0 and index.query("x").count() == 0
+    index.add_texts(["Red apples. Green pears.", "A boat."])
+    index.add_messages(talk[0], {"kind": "talk"})
+    rows = index.chunks().orderBy("chunk_pos").collect()
+    assert [r.id for r in rows] == ["text-0-0", "text-0-1", "text-1-0", "msg-0-0", "msg-1-0", "msg-2-0"]
+    assert [r.chunk_pos for r in rows] == list(range(6)) and rows[3].metadata == {"messageOrdinal": "0", "kind": "talk"}
+    assert index.query("Red apples.", 1).collect()[0].id == "text-0-0"
+    assert {r.id for r in index.query("m1", 5, 0.5, F.col("metadata")["kind"] == "talk").collect()} == {"msg-1-0"}
+    assert index.remove(["text-0-0", "none"]) == 1 and index.size() == 5
+    index.save(str(tmp_path / "saved"))
+    assert documents.read_chunks(spark, str(tmp_path / "saved"))[0].count() == 5
+    index.clear()
+    assert index.size() == 0
+
+
+def test_message_likeness(spark, talk):
+    assert rag.lookup_messages(talk[0], "m2", 1).collect()[0].message_ordinal == 2
+    some = spark.createDataFrame([(0,), (1,)], "message_ordinal bigint")
+    assert {r.message_ordinal for r in rag.lookup_messages(talk[0], "m2", 3, subset=some).collect()} <= {0, 1}
