@@ -101,7 +101,7 @@ def measures(df: DataFrame, text: str = "text", into: str = "m") -> DataFrame:
     w, lines = F.col(words), F.col(lines)
     counts = base.withColumn(windows, _once(_windows(w))).select(
         *[F.col(c) for c in df.columns],
-        F.struct(
+        _once(F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.char_length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
             _count(t, SYMBOLS).cast("long").alias("n_symbols"),
@@ -112,7 +112,7 @@ def measures(df: DataFrame, text: str = "text", into: str = "m") -> DataFrame:
             F.char_length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
             F.char_length(F.regexp_replace(t, r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop"),
-        ).alias(counted),
+        )).alias(counted),
     )
     c = F.col(counted)
     per = lambda a, b: F.coalesce(c[a] / F.nullif(c[b], F.lit(0)), F.lit(0.0))
