@@ -37,11 +37,11 @@ def query_many(chunks: DataFrame, queries: list, k: int = TOP_K, least: float =
     return query(chunks, np.mean(np.array(queries, dtype=float), axis=0).tolist(), k, least, where)
 
 
-def join_nearest(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
+def join_nearest(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, index: CellIndex | None = None) -> DataFrame:
     """(query_id, chunk_pos, distance, rank) for a stated set of queries (query_id, embedding), exact.
 
     The queries go to the chunks in one block of a size that is checked; each batch of chunks is one matrix product and keeps its k best for each
-    query, so what is shuffled is k rows a query and task.
+    query, so what is shuffled is k rows a query and task. With ``index``, chunks have ``cell`` and only a query's probed cells count.
     """
     block = queries.select("query_id", "embedding").limit(10_001).toPandas()
     if len(block) > 10_000:
@@ -50,16 +50,26 @@ def join_nearest(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataF
     q = np.array(block["embedding"].tolist(), dtype=float)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(q) else q
 
+    probed = None
+    if index is not None and len(q):
+        order = np.argsort(-(q @ index.centres.T), axis=1)
+        probed = np.zeros(order.shape, dtype=bool)
+        np.put_along_axis(probed, order[:, : index.probes], True, axis=1)
+        chunks = chunks.where(F.col("cell").isin(*np.flatnonzero(probed.any(axis=0)).tolist()))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             e = np.array(pdf["embedding"].tolist(), dtype=float)
             if not len(e) or not len(q):
                 continue
             d = 1 - q @ (e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)).T
+            if probed is not None:
+                d[~probed[:, pdf["cell"].to_numpy()]] = np.inf
             top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "chunk_pos": pdf["chunk_pos"].to_numpy()[top.ravel()], "distance": np.take_along_axis(d, top, axis=1).ravel()})
+            found = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "chunk_pos": pdf["chunk_pos"].to_numpy()[top.ravel()], "distance": np.take_along_axis(d, top, axis=1).ravel()})
+            yield found if probed is None else found[np.isfinite(found["distance"])]
 
-    best = chunks.select("chunk_pos", "embedding").mapInPandas(run, "query_id bigint, chunk_pos bigint, distance double")
+    best = chunks.select("chunk_pos", "embedding", *(["cell"] if index is not None else [])).mapInPandas(run, "query_id bigint, chunk_pos bigint, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_pos"))
     return best.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 
@@ -67,11 +77,13 @@ def join_nearest(queries: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataF
 class CellIndex:
     """Approximate neighbours: vectors in the cells of their nearest centres; a query looks into its nearest ``probes`` cells.
 
-    Centres are fitted on at most ``sample`` vectors; every vector is indexed.
+    Centres are fitted on at most ``sample`` vectors; every vector is indexed. With ``recall``, fitting raises ``probes`` until up to 500 of
+    the sampled vectors find that share of their ``TOP_K`` neighbours in the sample. Neighbours are farther apart
+    there than among all vectors, so more cells are probed than all of them need.
     """
 
-    def __init__(self, cells: int = 32, probes: int = 8, sample: int = 20_000, seed: int = 1):
-        self.cells, self.probes, self.sample, self.seed = cells, probes, sample, seed
+    def __init__(self, cells: int = 32, probes: int = 8, sample: int = 20_000, seed: int = 1, recall: float | None = None):
+        self.cells, self.probes, self.sample, self.seed, self.recall = cells, probes, sample, seed, recall
         self.centres = np.empty((0, 0))
 
     def fit(self, chunks: DataFrame) -> CellIndex:
@@ -86,8 +98,19 @@ class CellIndex:
             centres = np.array([x[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
         self.centres = centres
+        if self.recall is not None:
+            self.probes = max(self.probes, self._enough(x))
         return self
 
+    def _enough(self, x: np.ndarray) -> int:
+        """The fewest probes that reach ``recall`` within the sample."""
+        own = np.argmax(x @ self.centres.T, axis=1)
+        asked = x[np.random.default_rng(self.seed).permutation(len(x))[:500]]
+        place = np.argsort(np.argsort(-(asked @ self.centres.T), axis=1), axis=1)  # of each cell in a query's order
+        near = np.argsort(-(asked @ x.T), axis=1)[:, :TOP_K]
+        needed = np.sort(np.take_along_axis(place, own[near], axis=1).ravel()) + 1
+        return int(needed[max(0, int(np.ceil(self.recall * len(needed))) - 1)]) if len(needed) else 0
+
     def assign(self, chunks: DataFrame) -> DataFrame:
         """``chunks`` with ``cell``; written partitioned by it, a query reads only its cells."""
         centres = self.centres
@@ -102,6 +125,10 @@ class CellIndex:
         near = np.argsort(-(self.centres @ np.array(query, dtype=float)))[: self.probes]
         return nearest(assigned.where(F.col("cell").isin(*[int(c) for c in near])), query, k)
 
+    def search_many(self, assigned: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+        """(query_id, chunk_pos, distance, rank) for a stated set of queries (query_id, embedding); each looks into its own cells."""
+        return join_nearest(queries, assigned, k, self)
+
 
 def remove(chunks: DataFrame, ids: list[str]) -> tuple[DataFrame, int]:
     """Chunks without those of these ids, and how many went; by id, so nothing shifts."""
