@@ -1,0 +1,106 @@
+"""Repeated passages by words: every window of ``WORDS`` words that also starts anywhere else.
+
+Words are what white space parts, compared as they are; the white space between them doesn't matter. In each window the
+first of the ``GRAM``-word strings with the smallest hash is its anchor, so equal windows have equal anchors. Anchors that occur
+once are dropped; around the others each window's 128-bit hash is counted. Counts are combined before the shuffle.
+Rows equal in id and text have equal keys (k1, k2). Null texts and texts of fewer words lose nothing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palaver.llm import suffix_dedup
+from palaver.llm.common import fresh, release, stage, text_batches
+
+WORDS = 51
+GRAM = 5
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+SPACES = b" \t\n\r\x0b\x0c"
+
+
+def located(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of a text, their begins and ends in bytes."""
+    space = np.isin(np.frombuffer(text, dtype=np.uint8), np.frombuffer(SPACES, dtype=np.uint8))
+    step = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
+    return text.split(), np.flatnonzero(step == -1), np.flatnonzero(step == 1)
+
+
+def _hashed(values: np.ndarray, size: int, base: int) -> np.ndarray:
+    """Polynomial hashes of all runs of ``size`` values."""
+    out = np.zeros(len(values) - size + 1, dtype=np.uint64)
+    for k in range(size):
+        out *= np.uint64(base)
+        out += values[k : k + len(out)]
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(0xD6E8FEB86659FD93)
+
+
+def anchored(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, of the strings of ``GRAM`` words, and for each window its anchor."""
+    values = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    grams = _hashed(values, GRAM, BASES[0])
+    wide = np.lib.stride_tricks.sliding_window_view(grams, WORDS - GRAM + 1)
+    return values, grams, np.arange(len(wide)) + wide.argmin(axis=1)
+
+
+def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for k1, k2, text in zip(pdf["k1"], pdf["k2"], pdf["text"], strict=True):
+            words = (text or "").encode().split()
+            if len(words) >= WORDS:
+                _, grams, at = anchored(words)
+                at = np.unique(at)
+                yield pd.DataFrame({"g": grams[at].view(np.int64), "k1": k1, "k2": k2, "pos": at.astype(np.int32)})
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for k1, k2, text, wanted in zip(pdf["k1"], pdf["k2"], pdf["text"], pdf["wanted"], strict=True):
+            words, begin, end = located(text.encode())
+            values, _, at = anchored(words)
+            own = np.flatnonzero(np.isin(at, wanted))
+            h1 = _hashed(values, WORDS, BASES[0])[own].view(np.int64)
+            h2 = _hashed(values ^ (values >> np.uint64(29)), WORDS, BASES[1])[own].view(np.int64)
+            yield pd.DataFrame({"h1": h1, "h2": h2, "k1": k1, "k2": k2, "a": begin[own].astype(np.int32), "b": end[own + WORDS - 1].astype(np.int32)})
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """Of ``docs`` (k1, k2, text), those with repeated windows: k1, k2 and ``spans``, byte ranges [a, b)."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    docs = docs.select("k1", "k2", "text")
+    every = stage(docs.mapInPandas(_anchors, "g long, k1 long, k2 long, pos int"))
+    many = every.groupBy("g").count().where("count > 1").select("g")
+    wanted = stage(every.join(many, "g").groupBy("k1", "k2").agg(F.collect_set("pos").alias("wanted")))
+    release(spark, every)
+    rows = "h1 long, h2 long, k1 long, k2 long, a int, b int"
+    found = stage(docs.join(wanted, ["k1", "k2"]).mapInPandas(_windows, rows))
+    twice = found.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    spans = stage(found.join(twice, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    release(spark, wanted, found)
+    return spans
+
+
+def drop_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All rows and columns of ``df``; from the text go all repeated windows of words, and all repeated strings as ``suffix_dedup`` finds them."""
+    k1, k2, less = fresh(df, "k1", "k2", "less")
+    docs = df.withColumns({k1: F.coalesce(F.xxhash64(id), F.lit(0)), k2: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    own = docs.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(text).alias("text"))
+    spans = repeats(own).unionByName(suffix_dedup.repeats(own))
+    spans = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    cut = own.join(spans, ["k1", "k2"]).mapInPandas(suffix_dedup._cut, "k1 long, k2 long, kept binary, begins array<int>, ends array<int>").dropDuplicates(["k1", "k2"])
+
+    @F.pandas_udf("string")
+    def decoded(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: None if b is None else bytes(b).decode(errors="ignore"))
+
+    cut = cut.select(F.col("k1").alias(k1), F.col("k2").alias(k2), decoded("kept").alias(less))
+    full = docs.join(cut, [k1, k2], "left")
+    return full.select(*[F.coalesce(less, F.col(text)).alias(c) if c == text else F.col(c) for c in df.columns])
