@@ -144,7 +144,7 @@ def predict(batches: Iterator[pd.DataFrame], path: str, langs: list[str], table:
     scores = np.empty((0, len(langs)))
     for pdf in batches:
         texts = [letters(t or "") for t in pdf["text"]]
-        texts = [w if len(w) > 8 or any(c.isalpha() for x in w for c in x) else [] for w in texts]
+        texts = [w if any(c.isalpha() for x in w for c in x) else [] for w in texts]
         new = list(set().union(*texts) - known.keys()) if texts else []
         if len(known) + len(new) > KEPT_WORDS:
             known, scores = {}, scores[:0]
