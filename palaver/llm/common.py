@@ -6,6 +6,8 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder. Results are lazy and may read its tables, so it stays until the driver
+    ends (or ``tidy`` is called)."""
+    path = f"{shared_dir(spark).rstrip('/')}/palaver-{spark.sparkContext.applicationId}"
+    if path not in _RUNS:
+        _RUNS.add(path)
+        atexit.register(tidy, spark)
+    return path
+
+
+_RUNS: set[str] = set()
+
+
+def tidy(spark: SparkSession) -> None:
+    """Delete all written tables of this application."""
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, f"{shared_dir(spark).rstrip('/')}/palaver-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, executors may be lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._stage_path = path
@@ -46,16 +72,29 @@ def release(spark: SparkSession, *staged: DataFrame) -> None:
 
     Only for tables all of whose results are themselves written: a lost executor then asks for none of them again.
     """
-    jvm = spark.sparkContext._jvm
     for df in staged:
-        path = jvm.org.apache.hadoop.fs.Path(df._stage_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, df._stage_path)
     gc.collect()
-    jvm.System.gc()  # Spark's cleaner follows the driver's garbage collection
+    spark.sparkContext._jvm.System.gc()  # Spark's cleaner follows the driver's garbage collection
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of so many rows for what is run inside; then the former setting again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    were = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, were)
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keep batches that go to Python small in bytes, whatever the length of a text."""
+    """Keep batches that go to Python small in bytes, whatever the length of a text.
+
+    The session keeps these settings: an operator's result is lazy, and what holds when it runs decides.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
