@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from palaver.llm.common import text_batches
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,20000}+"|'[^']{0,20000}+')*+)>""")
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+STOP = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 
 #: HTML's elements by what they mean here.
@@ -82,6 +82,42 @@ def left_out(tag: str, attributes: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?=\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes), re.I))
 
 
+class Tags:
+    """Where a page's tags end: at the first > that isn't in a quoted value. A quote opens a value only after an equals sign.
+
+    If a quote is never closed, that tag and all later ones end at their first >, so a page is looked through twice at most.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last, self.loose = html, html.rfind(">"), False
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends at ``at``; -1 if there is none."""
+        html, begin = self.html, at
+        if at > self.last:
+            return -1
+        while not self.loose:
+            m = STOP.search(html, at)
+            if m and m[0] == ">":
+                return m.start()
+            if m:
+                k = m.start() - 1
+                while k >= at and html[k].isspace():
+                    k -= 1
+                close = html.find(m[0], m.end()) if k >= begin and html[k] == "=" else m.start()
+                at = close + 1
+            if not m or close < 0:
+                self.loose = True
+        return html.find(">", begin)
+
+
+def closing_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE | re.ASCII)
+
+
+CLOSING = {tag: closing_tag(tag) for tag in RAW}
+
+
 def read(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """Nodes of the tree and text blocks (node, text, characters in links), in page order."""
     root = Node("", None, False)
@@ -97,7 +133,7 @@ def read(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             held.clear()
         linked = 0
 
-    at, n, lower = 0, len(html), None
+    at, n, tags = 0, len(html), Tags(html)
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
@@ -117,18 +153,18 @@ def read(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             end = html.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        m = TAG.match(html, lt) or LOOSE.match(html, lt)
-        if not m:
+        m = TAG.match(html, lt)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:
             held.append("<")
             at = lt + 1
             continue
-        at, closing, tag = m.end(), m[1], m[2].lower()
+        at, closing, tag, attributes = end + 1, m[1], m[2].lower(), html[m.end() : end]
         if tag in RAW and not closing:
-            if m[3].endswith("/") and tag in ("svg", "math", "object"):
+            if attributes.endswith("/") and tag in ("svg", "math", "object"):
                 continue
-            lower = html.lower() if lower is None and len(html.lower()) == n else lower
-            end = (lower if lower is not None else html).find(f"</{tag}", at)
-            at = n if end < 0 else end  # the closing tag itself is read as one that nothing opened
+            closed = CLOSING[tag].search(html, at)
+            at = closed.start() if closed else n  # the closing tag itself is read as one that nothing opened
         elif tag == "a":
             in_link = not closing
         elif tag == "br":
@@ -145,7 +181,7 @@ def read(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 for old in (ENDS.get(tag) or ({"p"} if tag not in ("html", "head", "body") else ())):
                     if here.tag == old:
                         here = here.up
-                here = Node(tag, here, here.skip or left_out(tag, m[3]))
+                here = Node(tag, here, here.skip or left_out(tag, attributes))
                 nodes.append(here)
     flush()
     return nodes, blocks
