@@ -16,6 +16,7 @@ one key and go together. An empty table gives an empty result. Columns named lik
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import stage
+from palaver.llm.common import fresh, stage
 
 SHARDS = 40
 OVERHEAD = 16
@@ -31,10 +32,8 @@ OVERHEAD = 16
 TOLERANCE = 0.0005
 #: Candidates laid into an interval in one round.
 PROBES = 8
-ROUNDS = 40
-#: Rows of a part, about; and parts of a shard at most.
-PART_ROWS = 2000
-PARTS = 100
+#: Bytes of a part, about.
+PART_BYTES = 64 << 20
 
 
 def _below(batches: Iterator[pd.DataFrame], probes: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -56,22 +55,24 @@ def histogram(keys: DataFrame, probes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.cumsum(size)[:-1], np.cumsum(rows)[:-1]
 
 
-def splitters(keys: DataFrame, total: int, parts: int, tolerance: float) -> np.ndarray:
-    """parts - 1 keys: the bytes below the j-th are within ``tolerance`` bytes of j / parts of all, as far as whole keys allow."""
+def splitters(keys: DataFrame, total: int, parts: int, tolerance: np.ndarray | float) -> np.ndarray:
+    """parts - 1 keys: the bytes below the j-th are within ``tolerance`` bytes (of each, or of all) of j / parts of all, as far as whole keys allow."""
+    tolerance = np.broadcast_to(tolerance, parts - 1)
     goal = total * np.arange(1, parts) / parts
     low = [-(1 << 63)] * (parts - 1)  # Python integers: differences exceed 64 bits
     high = [(1 << 63) - 1] * (parts - 1)
     best, gap = [0] * (parts - 1), np.full(parts - 1, np.inf)
     first = [(1 << 64) * j // parts - (1 << 63) for j in range(1, parts)]
     near = {j: [first[j]] for j in range(parts - 1)}  # hashed keys: the even place is a good guess
-    for _ in range(ROUNDS):
-        live = [j for j in range(parts - 1) if gap[j] > tolerance and high[j] - low[j] > 1]
+    for turn in itertools.count():  # each round but the first narrows every interval to a ninth of it at most
+        live = [j for j in range(parts - 1) if gap[j] > tolerance[j] and high[j] - low[j] > 1]
         if not live:
             break
         laid: set[int] = set()
         for j in live:
             laid.update(x for x in near.get(j, []) if low[j] < x < high[j])
-            laid.update(low[j] + (high[j] - low[j]) * k // (PROBES + 1) for k in range(1, PROBES + 1))
+            if turn:
+                laid.update(low[j] + (high[j] - low[j]) * k // (PROBES + 1) for k in range(1, PROBES + 1))
         probes = np.array(sorted(laid), dtype=np.int64)
         size, _ = histogram(keys, probes)
         for j in live:
@@ -94,43 +95,53 @@ def splitters(keys: DataFrame, total: int, parts: int, tolerance: float) -> np.n
     return np.maximum.accumulate(np.array(best, dtype=np.int64))
 
 
-def shard(df: DataFrame, id: str = "doc_id", text: str = "text", shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """All rows and columns of ``df`` with ``size``, ``shard`` (from 0) and ``slot`` (gapless from 0 in each shard)."""
-    own = [c for c in df.columns if c not in ("size", "shard", "slot", "__key", "__part")]
-    size = (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
+def measured(df: DataFrame, id: str, text: str, size: str, key: str) -> DataFrame:
+    """``df`` with the columns ``size`` and ``key`` of each row."""
+    bytes_ = (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
     hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     by_id = F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(id)), 40)
-    key = F.shiftleft(F.shiftrightunsigned(hashed, 24), 24).bitwiseOR(by_id)
-    rows = df.select(*own, size.alias("size"), key.alias("__key"))
-    keys = stage(rows.select(F.col("__key").alias("key"), "size"))
+    return df.select("*", bytes_.alias(size), F.shiftleft(F.shiftrightunsigned(hashed, 24), 24).bitwiseOR(by_id).alias(key))
+
+
+def dealt(rows: DataFrame, id: str, size: str, key: str, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``rows`` with ``shard`` and ``slot``; they are exchanged once, with all their columns."""
+    keys = stage(rows.select(F.col(key).alias("key"), F.col(size).alias("size")))
     whole = keys.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()[0]
-    per = int(min(PARTS, max(1, -(-whole["rows"] // (shards * PART_ROWS)))))
-    cuts = splitters(keys, whole["bytes"] or 0, shards * per, tolerance * (whole["bytes"] or 0) / shards)
+    total = whole["bytes"] or 0
+    per = max(1, -(-total // (shards * PART_BYTES)))
+    parts = shards * per
+    close = np.where(np.arange(1, parts) % per, PART_BYTES / 4, tolerance * total / shards)  # between parts of a shard a rough cut will do
+    cuts = splitters(keys, total, parts, close)
     _, below = histogram(keys, np.unique(cuts)) if whole["rows"] else (None, np.zeros(len(np.unique(cuts)), np.int64))
     start = np.concatenate(([0], below[np.searchsorted(np.unique(cuts), cuts)]))  # rows before each part
-    ahead = start - start[np.arange(shards * per) // per * per]  # of its shard
+    ahead = start - start[np.arange(parts) // per * per]  # of its shard
+    part, place, number = fresh(rows, "part", "place", "number")
 
-    @F.pandas_udf("int")
-    def part(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, keys.to_numpy(), side="right").astype(np.int32))
+    @F.pandas_udf("part int, ahead long")
+    def place_of(keys: pd.Series) -> pd.DataFrame:
+        at = np.searchsorted(cuts, keys.to_numpy(), side="right")
+        return pd.DataFrame({"part": at.astype(np.int32), "ahead": ahead[at]})
 
-    rows = rows.withColumn("__part", part("__key"))
-    number = F.row_number().over(Window.partitionBy("__part").orderBy("__key", id))
-    before = F.array(*[F.lit(int(x)) for x in ahead])
-    return rows.select(
-        *own,
-        "size",
-        F.floor(F.col("__part") / per).cast("int").alias("shard"),
-        (number - 1 + F.get(before, F.col("__part"))).cast("long").alias("slot"),
-    )
+    named = rows.withColumn(place, place_of(key)).withColumn(part, F.col(place)["part"])
+    named = named.withColumn(number, F.row_number().over(Window.partitionBy(part).orderBy(key, id)) - 1)
+    return named.select(*rows.columns, F.floor(F.col(part) / per).cast("int").alias("shard"), (F.col(number) + F.col(place)["ahead"]).cast("long").alias("slot"))
+
+
+def shard(df: DataFrame, id: str = "doc_id", text: str = "text", shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """All rows and columns of ``df`` with ``size``, ``shard`` (from 0) and ``slot`` (gapless from 0 in each shard)."""
+    own = df.select(*[F.col(c) for c in df.columns if c not in ("size", "shard", "slot")])
+    (key,) = fresh(own, "key")
+    return dealt(measured(own, id, text, "size", key), id, "size", key, shards, tolerance).drop(key)
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return shard(docs).select(
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32")
+    rows = measured(docs, "doc_id", "text", "size", "key").select("doc_id", "size", "key", crc)  # the digest travels, not the text
+    return dealt(rows, "doc_id", "size", "key").select(
         "doc_id",
         "size",
-        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
+        "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         "slot",
