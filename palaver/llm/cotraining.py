@@ -2,15 +2,18 @@
 
 Two classifiers look at different sides of a document: its words and their shape, and its metadata (source,
 language, length). Both learn from the same labelled sample by logistic regression; then, round by round,
-each marks the unlabelled documents it is most sure of and the other learns from those marks as well. At the
-end each is calibrated on labelled documents that it has not learnt from, and the two calibrated views are
-combined by a third regression on the same documents. Every document is scored in one scan over its whole text.
+each marks the unlabelled documents it is most sure of and the other learns from those marks as well. What a view
+learns from the other's marks is kept only if it then does no worse on labelled documents that it hasn't learnt from (the check fold,
+which also calibrates the views); else it takes back the weights it had. The two calibrated views are
+combined by a third regression on another fold; the text view alone decides if it does better there.
+Every document is scored in one scan over its whole text. If every document has a label the pool is empty and nothing is exchanged.
 
 A document is good if its quality label is 1 and it isn't marked toxic. The fit takes at most about ``LABELLED`` labelled and
 ``POOL`` unlabelled documents, chosen by a hash of the id; this bound is the only sample.
 
 Null and empty texts have no words and are scored by what that shape means; null metadata is a value of its own.
-Without labels of both kinds every score is 0.5 and every document is kept. Repeated rows get equal scores.
+Without labels of both kinds every score is 0.5 and every document is kept. Repeated rows and ties get equal scores; a text
+of any length is read whole. Other columns of the documents are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -124,6 +127,11 @@ def _dense(x: np.ndarray, y: np.ndarray, passes: int = 300, rate: float = 0.3) -
     return w
 
 
+def _loss(a: np.ndarray, y: np.ndarray) -> float:
+    """Mean logistic loss of scores."""
+    return float(np.logaddexp(0, np.where(y > 0.5, -a, a)).mean())
+
+
 class Model:
     """Both views, their calibrations and the combination."""
 
@@ -135,17 +143,27 @@ class Model:
         self.fitted = False
 
     def fit(self, words: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, fold: np.ndarray, pool_words: list[np.ndarray], pool_meta: list[np.ndarray]) -> Model:
-        """``fold``: the rows that only calibrate."""
+        """``fold``: rows of fold 0 check and calibrate, those of fold 1 combine; the others teach."""
         if not len(y) or y.min() == y.max():
             return self
-        learn = np.flatnonzero(~fold) if len(np.unique(y[~fold])) == 2 else np.arange(len(y))
-        check = np.flatnonzero(fold) if len(np.unique(y[fold])) == 2 else learn
+        both = lambda at: len(np.unique(y[at])) == 2
+        learn = np.flatnonzero(fold > 1) if both(fold > 1) else np.arange(len(y))
+        check = np.flatnonzero(fold == 0) if both(fold == 0) else learn
+        last = np.flatnonzero(fold == 1) if both(fold == 1) else check
         views = [(self.text, words, pool_words), (self.meta, meta, pool_meta)]
         marks: list[dict[int, float]] = [{}, {}]  # what each view has been told
+        least, self.taken = [np.inf, np.inf], [0, 0]
         for turn in range(ROUNDS + 1):
-            for (view, rows, pool), told in zip(views, marks, strict=True):
+            for k, ((view, rows, pool), told) in enumerate(zip(views, marks, strict=True)):
+                were = view.weights.copy(), view.bias
                 own = [rows[i] for i in learn] + [pool[i] for i in told]
                 view.fit(own, np.concatenate((y[learn], list(told.values()))), np.concatenate((np.ones(len(learn)), np.full(len(told), 0.5))))
+                raw = view([rows[i] for i in check])
+                a = _dense(raw[:, None], y[check])
+                if (loss := _loss(a[0] * raw + a[1], y[check])) > least[k]:
+                    view.weights, view.bias = were
+                else:
+                    least[k], self.taken[k] = loss, turn
             if turn == ROUNDS or not pool_words:
                 break
             for k, (view, rows, pool) in enumerate(views):
@@ -155,9 +173,11 @@ class Model:
                 for i in np.argsort(-sure, kind="stable")[: int(SHARE * len(pool))]:
                     if sure[i] >= SURE:
                         marks[1 - k][int(i)] = float(p[i] > 0.5)
-        raw = [view([rows[i] for i in check]) for view, rows, _ in views]
-        self.calibration = [_dense(r[:, None], y[check]) for r in raw]
-        self.combined = _dense(np.stack([c[0] * r + c[1] for c, r in zip(self.calibration, raw, strict=True)], axis=1), y[check])
+        self.calibration = [_dense(view([rows[i] for i in check])[:, None], y[check]) for view, rows, _ in views]
+        raw = [c[0] * view([rows[i] for i in last]) + c[1] for c, (view, rows, _) in zip(self.calibration, views, strict=True)]
+        self.combined = _dense(np.stack(raw, axis=1), y[last])
+        if _loss(raw[0], y[last]) <= _loss(self.combined[0] * raw[0] + self.combined[1] * raw[1] + self.combined[2], y[last]):
+            self.combined = np.array([1.0, 0.0, 0.0])
         self.fitted = True
         return self
 
@@ -177,10 +197,10 @@ def _scored(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFr
         yield pd.DataFrame({"id": pdf["id"], "text_score": t, "meta_score": m, "score": both, "kept": both >= KEEP})
 
 
-def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
-    """id, text_score, meta_score, score and kept for each row of ``docs`` (text, source, lang, n_chars)."""
+def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", labelled: int = LABELLED, pool: int = POOL, text: str = "text") -> DataFrame:
+    """id, text_score, meta_score, score and kept for each row of ``docs`` (``text``, source, lang, n_chars; what is absent counts as null)."""
     text_batches(docs.sparkSession)
-    own = docs.select(F.col(id).alias("id"), "text", *[F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")], (F.col("n_chars") if "n_chars" in docs.columns else F.char_length("text")).alias("n_chars"))
+    own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), *[F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")], (F.col("n_chars") if "n_chars" in docs.columns else F.char_length(text)).alias("n_chars"))
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
     n_known, n_all = known.count(), docs.count()
     place = F.pmod(F.xxhash64(F.lit("co-training"), "id"), F.lit(1 << 30))
@@ -193,7 +213,7 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", labelled: i
     sets = [features(t) for t in sample["text"]]
     known = vocabulary(sets)
     views = lambda pdf, sets: ([places(s, known) for s in sets], [metadata(*x) for x in zip(pdf["source"], pdf["lang"], pdf["n_chars"], strict=True)])
-    fold = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in sample["id"]], dtype=bool)
+    fold = np.array([zlib.crc32(str(i).encode()) % 6 for i in sample["id"]])
     model = Model(known).fit(*views(sample, sets), sample["y"].to_numpy(float), fold, *views(rest, [features(t) for t in rest["text"]]))
     schema = f"id {dict(docs.dtypes)[id]}, text_score double, meta_score double, score double, kept boolean"
     return own.mapInPandas(lambda it: _scored(it, model), schema).withColumnRenamed("id", id)
