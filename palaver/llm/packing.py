@@ -15,6 +15,7 @@ only id is the end id. Rows with equal ids are packed each.
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ from palaver.llm.common import stage, text_batches
 SIZE = 2048
 UNIT = 8
 END = 1
+#: Sequences by which the linear program may miss its optimum; rounding costs more.
+GAP = 0.5
 #: Rows that one bucket of the ranking holds, about.
 BUCKET_ROWS = 50_000
 
@@ -74,21 +77,25 @@ def _inverse(matrix: np.ndarray) -> np.ndarray:
     return both[:, m:]
 
 
-def columns(demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often to use each: the optimum of the linear program (or what ``rounds`` pivots reach)."""
+def columns(demand: np.ndarray, capacity: int, gap: float = GAP) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often to use each: a solution of the linear program within ``gap`` sequences of its optimum.
+
+    If the best pattern is worth w, the optimum is at least the present value divided by w (the prices over w are feasible), which tells how far it is.
+    """
     bins = np.flatnonzero(demand)
     if not len(bins):
         return []
-    m, need = len(bins), demand[bins].astype(float)
+    m = len(bins)
+    need = demand[bins] + np.random.default_rng(7).uniform(1e-6, 1e-5, m)  # no ties, so no pivot is without gain and none comes back
     basis = np.diag((capacity // (bins + 1)).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
     use = _times(inverse, need)
-    for step in range(rounds):
+    for step in itertools.count():
         dual = inverse.sum(axis=0)
         prices = np.zeros(capacity)
         prices[bins] = np.maximum(dual, 0)
         worth, pattern = knapsack(prices, capacity)
-        if worth <= 1 + 1e-7:
+        if worth <= 1 + 1e-7 or use.sum() * (1 - 1 / worth) < gap:
             break
         enter = pattern[bins].astype(float)
         way = _times(inverse, enter)
@@ -166,8 +173,9 @@ class Ids:
         if self.fast is not None:
             try:
                 return self.fast.encode(text, allowed_special="all")
-            except Exception:  # a run of white space too long for its pattern engine
-                pass
+            except ValueError as e:
+                if "regex" not in str(e).lower():  # a run of white space too long for its pattern engine
+                    raise
         if self.slow is None:
             from tokenizers import Tokenizer
 
@@ -232,9 +240,13 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, id: str = "
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     # full pieces take the numbers after the packed ones: counted by file partition, numbered within
     full = full.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(buckets_of(full))).cast("int"))
-    filled = full.groupBy("bucket").count()
-    ahead = F.coalesce(F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    filled = filled.select("bucket", ahead.alias("ahead"))
+    # a bucket's start: prefix sums within blocks of a thousand buckets, and over the blocks' totals
+    filled = stage(full.groupBy("bucket").count().withColumn("block", F.floor(F.col("bucket") / 1000)))
+    so_far = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = filled.groupBy("block").agg(F.sum("count").alias("count"))
+    blocks = blocks.select("block", so_far(Window.orderBy("block")).alias("base"))
+    filled = filled.withColumn("own", so_far(Window.partitionBy("block").orderBy("bucket"))).join(blocks, "block")
+    filled = filled.select("bucket", (F.col("base") + F.col("own")).alias("ahead"))
     number = F.row_number().over(Window.partitionBy("bucket").orderBy("id", "start", "ids_crc32")) - 1
     full = full.withColumn("number", number).join(filled, "bucket")
     full = full.withColumn("sequence_id", (F.lit(sequences) + F.col("ahead") + F.col("number")).cast("long")).withColumn("offset", F.lit(0).cast("long"))
