@@ -25,7 +25,7 @@ from palaver.llm.common import text_batches
 #: Labelled documents that a fit takes, about: the bounded sample.
 TRAIN_DOCS = 6000
 EM_ROUNDS = 3
-#: Longer words are summed one by one, shorter ones together by length.
+#: Longer words are summed one by one, in the fit in logarithms; shorter ones together by length.
 LONG = 24
 #: Probability of a character that the vocabulary lacks, for any language.
 UNKNOWN = 1e-8
@@ -111,7 +111,8 @@ def fit(counts: pd.DataFrame, pieces: Pieces, rounds: int = EM_ROUNDS) -> tuple[
     for c, lang in enumerate(langs):
         own = counts[counts["lang"] == lang]
         words, weight = own["word"].tolist(), own["n"].to_numpy(float)
-        groups = [(n, pieces.spans([words[k] for k in at]), weight[at]) for n, at in by_length(words).items()]
+        groups = [(n, pieces.spans([words[k] for k in at]), weight[at]) for n, at in by_length(words).items() if n <= LONG]
+        rare = [(w, x) for w, x in zip(words, weight, strict=True) if len(w) > LONG]
         p = np.full(size, 1.0 / size)
         for _ in range(rounds):
             p[pieces.unknown], p[pieces.none] = UNKNOWN, 0
@@ -127,6 +128,9 @@ def fit(counts: pd.DataFrame, pieces: Pieces, rounds: int = EM_ROUNDS) -> tuple[
                 for i, j in order:
                     use = w * ahead[i] * p[spans[i, j]] * behind[j] / ahead[n]
                     seen += np.bincount(spans[i, j], weights=use, minlength=size)
+            for w, x in rare:
+                index, n = _long_pieces(w, pieces, p)
+                seen += np.bincount(index, weights=x * n, minlength=size)
             seen[pieces.unknown] = seen[pieces.none] = 0
             p = (seen + 0.05) / (seen.sum() + 0.05 * size)
         p[pieces.unknown], p[pieces.none] = UNKNOWN, 0
@@ -135,7 +139,34 @@ def fit(counts: pd.DataFrame, pieces: Pieces, rounds: int = EM_ROUNDS) -> tuple[
 
 
 def letters(text: str) -> list[str]:
-    return ["▁" + w for w in LETTERS.findall(text.lower())]
+    """The text's runs of letters (Unicode's category L), in lower case, marked as begun."""
+    found = []
+    for w in LETTERS.findall(text.lower()):
+        if w.isalpha():
+            found.append("▁" + w)
+        else:  # numerals that aren't decimal, such as ½
+            found += ["▁" + x for x in "".join(c if c.isalpha() else " " for c in w).split()]
+    return found
+
+
+def _long_pieces(word: str, pieces: Pieces, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each piece of a word of any length is used, expected over its segmentations: indexes and numbers."""
+    n, log = len(word), np.full(pieces.none + 1, -np.inf)
+    log[p > 0] = np.log(p[p > 0])
+    spans = []
+    for i in range(n):
+        for j in range(i + 1, min(n, i + pieces.longest) + 1):
+            k = pieces.index.get(word[i:j], pieces.unknown if j == i + 1 else pieces.none)
+            if k != pieces.none:
+                spans.append((i, j, k))
+    ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    ahead[0] = behind[n] = 0
+    for i, j, k in spans:
+        ahead[j] = np.logaddexp(ahead[j], ahead[i] + log[k])
+    for i, j, k in reversed(spans):
+        behind[i] = np.logaddexp(behind[i], behind[j] + log[k])
+    index = np.array([k for _, _, k in spans])
+    return index, np.exp(np.array([ahead[i] + log[k] + behind[j] for i, j, k in spans]) - ahead[n])
 
 
 def predict(batches: Iterator[pd.DataFrame], path: str, langs: list[str], table: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -144,7 +175,6 @@ def predict(batches: Iterator[pd.DataFrame], path: str, langs: list[str], table:
     scores = np.empty((0, len(langs)))
     for pdf in batches:
         texts = [letters(t or "") for t in pdf["text"]]
-        texts = [w if any(c.isalpha() for x in w for c in x) else [] for w in texts]
         new = list(set().union(*texts) - known.keys()) if texts else []
         if len(known) + len(new) > KEPT_WORDS:
             known, scores = {}, scores[:0]
@@ -177,7 +207,7 @@ def identify(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "
     n = label.count()
     part = F.pmod(F.xxhash64(F.lit("sample"), F.col(id)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, train_docs / max(n, 1))))
     word = F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))
-    counts = label.where(part).select(F.col(lang).alias("lang"), word.alias("word")).where((F.col("word") != "") & (F.char_length("word") < LONG))
+    counts = label.where(part).select(F.col(lang).alias("lang"), word.alias("word")).where(F.col("word") != "")
     counts = counts.groupBy("lang", F.concat(F.lit("▁"), "word").alias("word")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # words of the sample
     langs, table = fit(counts, Pieces(vocabulary)) if len(counts) else ([], np.zeros((0, 0)))
     own = docs.select(F.col(id).alias("id"), held_out(id).alias("held_out"), F.col(text).alias("text"))
