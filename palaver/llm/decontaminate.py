@@ -9,7 +9,8 @@ positions: whichever two of 13 words are replaced, one of the masks fits beside
 an overlap with up to two substitutions can't be missed.
 
 Null and empty texts and items have no words and take no part. Items shorter than a mask are
-compared through their words' whole sequence. Repeated rows are found each; ties don't matter.
+compared through their words' whole sequence. Rows with equal ids count as one document. A window that
+agrees as well as another later in the document gives way to none: the first is named. Extra columns pass through ``clean``.
 """
 
 from __future__ import annotations
@@ -19,15 +20,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import stage
+from palaver.llm.common import fresh, stage
 
 #: Selected positions. Fixed values, together complete for two substitutions in 13 words.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW = 13
 #: Words of a window that must agree: four fifths of it.
 NEEDED = 11
-#: Rows of the hash table, or of hits, that may be sent to every executor; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of a table that may be sent to every executor; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of a row of the hash table or of hits, about.
+ROW_BYTES = 64
+#: Words of 64 bits in the filter that spares hashes, none of which is in a large table, the shuffle: 8 MB.
+FILTER_WORDS = 1 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -58,8 +63,20 @@ def _hashes(df: DataFrame, id: str) -> DataFrame:
     return by_mask.select(id, F.posexplode("h").alias("pos", "h"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _met(hashes: DataFrame, seeds: DataFrame, size: int) -> DataFrame:
+    """``hashes`` joined to ``seeds`` on ``h``. Beside a table too large to be sent, a bitmap of its hashes, whose size is fixed, goes first."""
+    if size <= BROADCAST_BYTES:
+        return hashes.join(F.broadcast(seeds), "h")
+    word = lambda: F.pmod(F.shiftrightunsigned("h", 6), F.lit(FILTER_WORDS)).cast("int")
+    bits = seeds.groupBy(word().alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(h & 63)))").alias("bits"))
+    bits = stage(F.broadcast(seeds.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("word"))).join(bits, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits")))
+    bitmap = bits.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bitmap"))
+    some = hashes.crossJoin(F.broadcast(bitmap)).where(F.getbit(F.get("bitmap", word()), F.expr("int(h & 63)")) == 1)  # one row
+    return some.drop("bitmap").join(seeds, "h")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -74,8 +91,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
     longest = max(m[-1] for m in MASKS) + 1
     seeds = _hashes(items.where(F.col("n") >= min(m[-1] for m in MASKS) + 1), "item_id").withColumnRenamed("pos", "ipos")
     seeds = stage(seeds.distinct())
-    size = seeds.count()
-    hits = _hashes(own, "id").join(_small(seeds, size), "h")
+    hits = _met(_hashes(own, "id"), seeds, ROW_BYTES * seeds.count())
     hits = hits.select("id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
     short = items.where(F.col("n") < longest)
     if not short.isEmpty():  # few words: the sequence itself is the seed, whatever its length
@@ -83,13 +99,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
         whole = short.select("item_id", F.xxhash64("n", F.array_join("words", " ")).alias("h"))
         runs = F.flatten(F.array(*[_runs(n) for n in sizes]))
         at = own.select("id", F.explode(runs).alias("x")).select("id", "x.h", "x.shift")
-        hits = hits.unionByName(at.join(whole, "h").select("id", "item_id", "shift"))
+        whole = stage(whole.distinct())
+        hits = hits.unionByName(_met(at, whole, ROW_BYTES * whole.count()).select("id", "item_id", "shift"))
     hits = stage(hits.distinct())
+    letters = items.agg(F.coalesce(F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 32)), F.lit(0))).collect()[0][0]
 
     lists = hits.groupBy("id").agg(F.collect_set(F.struct("item_id", "shift")).alias("hits"))
-    found = own.join(_small(lists, hits.count()), "id").select("id", "words", F.explode("hits").alias("x"))
+    found = own.join(_small(lists, ROW_BYTES * hits.count()), "id").select("id", "words", F.explode("hits").alias("x"))
     pairs = found.select("id", "words", "x.item_id", "x.shift").join(
-        _small(items.select("item_id", F.col("words").alias("item"), "n"), size), "item_id"
+        _small(items.select("item_id", F.col("words").alias("item"), "n"), letters), "item_id"
     )
     k = lambda i: F.get(F.col("words"), i + F.col("shift"))
     equal = F.transform(F.col("item"), lambda w, i: F.when((i + F.col("shift") >= 0) & k(i).eqNullSafe(w), 1).otherwise(0))
@@ -110,9 +128,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id has no overlap with the benchmark, all columns. Null ids stay."""
-    bad = overlaps(docs.where(F.col(id).isNotNull()), benchmark, id, text).select(id).distinct()
-    return docs.join(bad, id, "left_anti")
+    """The rows of ``docs`` that have no overlap with the benchmark, all columns. Rows are told apart by their text, whatever their id."""
+    (key,) = fresh(docs, "key")
+    own = docs.withColumn(key, F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), F.col(text)).alias("y")))
+    bad = overlaps(own.select(key, F.col(text).alias("text")), benchmark, key).select(key).distinct()
+    return own.join(bad, key, "left_anti").select(*docs.columns)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
