@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import stage, text_batches
+from palaver.llm.common import batches_of, stage, text_batches
 from palaver.llm.graph import components
 
 SHINGLE = 4
@@ -35,23 +35,32 @@ SEED = 42
 BUCKET = 4096
 
 
-def simhash(text: str | None, size: int = SHINGLE) -> int:
-    """The fingerprint of a text, unsigned: a bit is set if it is set in over half the shingles' hashes."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z fold, only ASCII white space splits
+def hashed(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included; none without a word."""
+    words = (text or "").encode(errors="replace").lower().split()  # bytes: only A-Z fold, only ASCII white space splits
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - size + 1)
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist(), strict=True)
-    h = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of hashes, unsigned: a bit is set if it is set in over half of them."""
     ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 1 << 16):
+    for k in range(0, len(h), 1 << 16):
         part = h[k : k + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def simhash(text: str | None, size: int = SHINGLE) -> int:
+    """The fingerprint of a text; zero without a word."""
+    return majority(hashed(text, size))
 
 
 def masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -151,20 +160,19 @@ def _keyed(fps: DataFrame, family: list[int], table=None) -> DataFrame:
 
 
 def links(fps: DataFrame, radius: int = RADIUS, limit: int = BUCKET) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column ``fp``, long) that join all pairs within ``radius``."""
+    """Links (a, b) between distinct fingerprints (column ``fp``, long) that join all pairs within ``radius``, as a written table."""
     spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    first = stage(_meet(_keyed(fps, FIRST), radius, limit))
-    over = first.where("t >= 0").select(F.col("a").alias("fp"), "t")
-    if over.isEmpty():
-        return first.select("a", "b")
-    again = None
-    for t in [r.t for r in over.select("t").distinct().collect()]:  # at most as many as tables
-        keyed = _keyed(over.where(F.col("t") == t).select("fp"), second(t))
-        keyed = keyed.withColumn("t", F.lit(1000 * (t + 1)) + F.col("t"))
-        again = keyed if again is None else again.unionByName(keyed)
-    deeper = _meet(again, radius, None)
-    return first.where("t < 0").select("a", "b").unionByName(deeper.select("a", "b"))
+    with batches_of(spark, 20_000):
+        first = stage(_meet(_keyed(fps, FIRST), radius, limit))
+        over = first.where("t >= 0").select(F.col("a").alias("fp"), "t")
+        if over.isEmpty():
+            return first.select("a", "b")
+        again = None
+        for t in [r.t for r in over.select("t").distinct().collect()]:  # at most as many as tables
+            keyed = _keyed(over.where(F.col("t") == t).select("fp"), second(t))
+            keyed = keyed.withColumn("t", F.lit(1000 * (t + 1)) + F.col("t"))
+            again = keyed if again is None else again.unionByName(keyed)
+        return stage(first.where("t < 0").select("a", "b").unionByName(_meet(again, radius, None).select("a", "b")))
 
 
 def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -184,13 +192,6 @@ def near_groups(df: DataFrame, id: str = "doc_id", text: str = "text", radius: i
     return rows.join(named, "fp", "left").select(F.col("id").alias(id), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Of each group of near copies the row with the smallest id, all columns; rows without an id can't be named and stay."""
-    named = df.where(F.col(id).isNotNull())
-    kept = near_groups(named, id, text, radius).where(F.col(id) == F.col("component_id")).select(id).distinct()
-    return named.join(kept, id, "left_semi").dropDuplicates([id]).select(*df.columns).unionByName(df.where(F.col(id).isNull()))
-
-
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
