@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palaver.functions import chunking, temporal, vectors
-from palaver.operators import collections, expand, ingest, postings, rag, vector_index
+from palaver.functions import chunking, temporal, values, vectors
+from palaver.operators import collections, expand, ingest, postings, rag, store, vector_index
 from palaver.plans import context, query_ir, scope
 from palaver.sources import corpora
 
@@ -103,8 +104,24 @@ def order_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return corpora.messages(knowledge), refs, postings.of(refs)
 
 
+_KEPT: dict[tuple[str, str], store.Store] = {}
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> store.Store:
+    """The orders corpus as a written index, made once an application and path."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        _KEPT[key] = store.Store(spark, f"{store.folder(spark)}/index-{uuid.uuid4().hex}").add(corpora.order_knowledge(spark, sf_dir))
+    return _KEPT[key]
+
+
+def kept_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    kept = kept_index(spark, sf_dir)
+    return kept.messages, kept.refs, kept.postings
+
+
 def found(spark: SparkSession, sf_dir: str, span=None, refers: bool = False) -> DataFrame:
-    messages, refs, index = order_parts(spark, sf_dir)
+    messages, refs, index = kept_parts(spark, sf_dir)
     return context.scored(index, refs, messages, TERMS, span, refers)
 
 
@@ -213,25 +230,25 @@ def x_build_index(spark, d):
 
 @query(f"WITH {P} SELECT term, min(ref) AS first_ref FROM p GROUP BY term")
 def x_terms(spark, d):
-    return postings.terms(order_parts(spark, d)[2])
+    return postings.terms(kept_parts(spark, d)[2])
 
 
 @query(f"WITH {P} SELECT term, ref AS semantic_ref_ordinal FROM p WHERE term = 'building'")
 def x_lookup_term(spark, d):
-    return postings.lookup(order_parts(spark, d)[2], "building").select("term", "semantic_ref_ordinal")
+    return postings.lookup(kept_parts(spark, d)[2], "building").select("term", "semantic_ref_ordinal")
 
 
 @query(f"WITH {P} SELECT term, count(*) AS n FROM p WHERE term <> 'customer' GROUP BY term")
 def x_remove_term(spark, d):
-    return postings.remove(order_parts(spark, d)[2], "customer").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return postings.remove(kept_parts(spark, d)[2], "customer").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    """WITH i AS (SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS term FROM orders WHERE o_orderkey < 1000)
+    """WITH i AS (SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS term FROM orders)
  SELECT lower(term) AS term, max(pos) * 3 AS semantic_ref_ordinal, 1.0::DOUBLE AS score FROM i GROUP BY lower(term)"""
 )
 def x_load_export_lastwins(spark, d):
-    orders = corpora.read(spark, d, "orders").where("o_orderkey < 1000")
+    orders = corpora.read(spark, d, "orders")
     term = F.when(F.col("o_orderkey") % 2 == 0, F.upper("o_orderpriority")).otherwise(F.lower("o_orderpriority"))
     refs = F.array(F.struct((F.col("o_orderkey") * 3).alias("semanticRefOrdinal"), F.lit(1.0).alias("score")))
     return postings.load(orders.select(F.col("o_orderkey").alias("item_pos"), term.alias("term"), refs.alias("semanticRefOrdinals")))
@@ -256,17 +273,17 @@ def _expanded_sql(kind: str, weight: float, most: str, stops: bool) -> str:
 
 @query(_expanded_sql("lemma", 1.0, "true", False))
 def x_lemmatize(spark, d):
-    return expand.lemmatize(order_parts(spark, d)[2], _relations(spark)).select("term", "semantic_ref_ordinal", "score")
+    return expand.lemmatize(kept_parts(spark, d)[2], _relations(spark)).select("term", "semantic_ref_ordinal", "score")
 
 
 @query(_expanded_sql("synonym", 0.9, "rank <= 5", True))
 def x_expand_synonyms(spark, d):
-    return expand.with_synonyms(order_parts(spark, d)[2], _relations(spark)).select("term", "semantic_ref_ordinal", "score")
+    return expand.with_synonyms(kept_parts(spark, d)[2], _relations(spark)).select("term", "semantic_ref_ordinal", "score")
 
 
 @query(_expanded_sql("llm", 0.9, "true", True))
 def x_expand_related(spark, d):
-    return expand.with_related(order_parts(spark, d)[2], _relations(spark)).select("term", "semantic_ref_ordinal", "score")
+    return expand.with_related(kept_parts(spark, d)[2], _relations(spark)).select("term", "semantic_ref_ordinal", "score")
 
 
 @query(
@@ -274,7 +291,7 @@ def x_expand_related(spark, d):
  FROM (VALUES {_VALUES}) x(term, related, relation, rank) WHERE relation = 'synonym' AND rank <= 5 AND term IN (SELECT term FROM p)) WHERE NOT contains(rel, ' ') GROUP BY term"""
 )
 def x_expand_stats(spark, d):
-    return expand.statistics(order_parts(spark, d)[2], _relations(spark), "synonym", 5)
+    return expand.statistics(kept_parts(spark, d)[2], _relations(spark), "synonym", 5)
 
 
 # ---------------------------------------------------------------- filters
@@ -301,7 +318,7 @@ def f_temporal_reference(spark, d):
 
 @query(f"WITH {R} SELECT kind AS knowledge_type, count(*) AS n FROM r WHERE kind IN ('entity', 'action') GROUP BY kind")
 def f_knowledge_type(spark, d):
-    refs = order_parts(spark, d)[1].where(F.col("knowledge_type").isin("entity", "action"))
+    refs = kept_parts(spark, d)[1].where(F.col("knowledge_type").isin("entity", "action"))
     return refs.groupBy("knowledge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -380,14 +397,14 @@ def t_parse_expression(spark, d):
 
 @query(f"WITH {P} SELECT term, ref AS semantic_ref_ordinal FROM p WHERE ref // 3 % 10 = 0")
 def j_dangling_postings(spark, d):
-    _, refs, index = order_parts(spark, d)
+    _, refs, index = kept_parts(spark, d)
     some = refs.where(F.col("message_ordinal") % 10 != 0)
     return collections.dangling(index, some, "semantic_ref_ordinal").select("term", "semantic_ref_ordinal")
 
 
 @query(f"WITH {R} SELECT ref AS semantic_ref_ordinal, text FROM r JOIN m USING (message_ordinal)")
 def j_refs_messages(spark, d):
-    messages, refs, _ = order_parts(spark, d)
+    messages, refs, _ = kept_parts(spark, d)
     return refs.join(messages, ["conv_id", "message_ordinal"]).select("semantic_ref_ordinal", F.array_join("text_chunks", "").alias("text"))
 
 
@@ -397,7 +414,7 @@ def j_refs_messages(spark, d):
 def _score_query(kind: str):
     @query(f"WITH {S} SELECT ref AS semantic_ref_ordinal, base FROM b WHERE kind = '{kind}'")
     def run(spark, d):
-        refs = order_parts(spark, d)[1].where(F.col("knowledge_type") == kind)
+        refs = kept_parts(spark, d)[1].where(F.col("knowledge_type") == kind)
         return refs.select("semantic_ref_ordinal", context.base_score(TERMS).alias("base"))
 
     QUERIES.pop("run")
@@ -425,9 +442,9 @@ def k_temporal_norange(spark, d):
     return found(spark, d, None, True).select("semantic_ref_ordinal", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {K} SELECT rank, ref AS semantic_ref_ordinal, kind AS knowledge_type, round(score, 6) AS score FROM ranked")
+@query(f"WITH {K} SELECT row_number() OVER (ORDER BY score DESC, term_pos, ref) AS rank, ref AS semantic_ref_ordinal, kind AS knowledge_type, round(score, 6) AS score FROM k")
 def k_rank(spark, d):
-    best = context.ranked(found(spark, d, SPAN, True))
+    best = context.ranked_all(found(spark, d, SPAN, True))
     return best.select("rank", "semantic_ref_ordinal", "knowledge_type", F.round("score", 6).alias("score"))
 
 
@@ -555,8 +572,11 @@ def v_batch_knn(spark, d):
 def v_ann_cells(spark, d):
     chunks = corpora.vectors(spark, d)
     asked = chunks.where(F.col("chunk_pos") % 100 == 0).select(F.col("chunk_pos").alias("query_id"), "embedding")
-    index = vector_index.CellIndex(recall=0.97).fit(chunks)
-    return index.search_many(index.assign(chunks), asked).select("query_id", "chunk_pos", F.abs(F.round("distance", 6)).alias("distance"), "rank")
+    index = vector_index.create_index("cells", cells=None, recall=0.97).fit(chunks)
+    path = f"{store.folder(spark)}/cells-{uuid.uuid4().hex}"
+    index.save(index.assign(chunks), path)
+    index, assigned = vector_index.CellIndex.load(spark, path)
+    return index.search_many(assigned, asked).select("query_id", "chunk_pos", F.abs(F.round("distance", 6)).alias("distance"), "rank")
 
 
 @query("SELECT o_orderkey AS message_ordinal, 'msg-' || o_orderkey || '-0' AS id, c_name || ' placed order ' || o_orderkey AS text, o_orderkey::VARCHAR AS ordinal, 'orders' AS source FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -586,7 +606,7 @@ def n_threads(spark, d):
 
 @query(f"WITH {P} SELECT count(DISTINCT term) AS term_count, (SELECT count(*) * 3 FROM m) AS ref_count, (SELECT count(*) FROM m) AS message_count FROM p")
 def a_index_stats(spark, d):
-    messages, refs, index = order_parts(spark, d)
+    messages, refs, index = kept_parts(spark, d)
     parts = index.select(F.lit("t").alias("kind"), "term").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     parts = parts.unionByName(refs.select(F.lit("r").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))).unionByName(messages.select(F.lit("m").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
     one = lambda k: F.max(F.when(F.col("kind") == k, F.col("n")))
@@ -595,7 +615,7 @@ def a_index_stats(spark, d):
 
 @query(f"WITH {P} SELECT term, count(*) AS n_refs FROM p GROUP BY term")
 def a_refs_per_term(spark, d):
-    return order_parts(spark, d)[2].groupBy("term").agg(F.count(F.lit(1)).alias("n_refs"))
+    return kept_parts(spark, d)[2].groupBy("term").agg(F.count(F.lit(1)).alias("n_refs"))
 
 
 @query(f"WITH {S} SELECT message_ordinal, count(*) AS n_hits FROM b JOIN h USING (ref) GROUP BY message_ordinal")
@@ -608,7 +628,7 @@ def a_refs_per_message(spark, d):
  UNION ALL SELECT NULL, count(DISTINCT term), count(*) FROM p"""
 )
 def a_terms_rollup_by_type(spark, d):
-    _, refs, index = order_parts(spark, d)
+    _, refs, index = kept_parts(spark, d)
     typed = index.join(refs.select("semantic_ref_ordinal", "knowledge_type"), "semantic_ref_ordinal")
     return typed.rollup("knowledge_type").agg(F.count_distinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_postings"))
 
@@ -621,27 +641,27 @@ _GROUP = ["customer", "building", "nation_3"]
 
 @query(f"{_HITS} SELECT ref AS semantic_ref_ordinal, n AS n_terms, score FROM t WHERE n = 3")
 def n_and(spark, d):
-    return scope.all_of(order_parts(spark, d)[2], _GROUP).select("semantic_ref_ordinal", "n_terms", "score")
+    return scope.all_of(kept_parts(spark, d)[2], _GROUP).select("semantic_ref_ordinal", "n_terms", "score")
 
 
 @query(f"{_HITS} SELECT ref AS semantic_ref_ordinal, n AS n_terms, score FROM t")
 def n_or(spark, d):
-    return scope.any_of(order_parts(spark, d)[2], _GROUP).select("semantic_ref_ordinal", "n_terms", "score")
+    return scope.any_of(kept_parts(spark, d)[2], _GROUP).select("semantic_ref_ordinal", "n_terms", "score")
 
 
 @query(f"{_HITS} SELECT ref AS semantic_ref_ordinal, n AS n_terms, score FROM t WHERE n = (SELECT max(n) FROM t)")
 def n_or_max(spark, d):
-    return scope.most_of(order_parts(spark, d)[2], _GROUP).select("semantic_ref_ordinal", "n_terms", "score")
+    return scope.most_of(kept_parts(spark, d)[2], _GROUP).select("semantic_ref_ordinal", "n_terms", "score")
 
 
 @query(f"WITH {M} SELECT message_ordinal * 3 AS semantic_ref_ordinal FROM m WHERE n_name = 'NATION_3' UNION ALL SELECT message_ordinal * 3 + 1 FROM m WHERE pr = '1-URGENT' AND false")
 def n_property(spark, d):
-    return scope.with_property(scope.properties(order_parts(spark, d)[1]), "nation", "nation_3").select("semantic_ref_ordinal")
+    return scope.with_property(scope.properties(kept_parts(spark, d)[1]), "nation", "nation_3").select("semantic_ref_ordinal")
 
 
 @query(f"WITH {P} SELECT ref AS semantic_ref_ordinal FROM p JOIN m ON message_ordinal = ref // 3 WHERE term = 'place' AND ts BETWEEN TIMESTAMP '{SPAN[0]}' AND TIMESTAMP '{SPAN[1]}' AND message_ordinal IN (SELECT ref // 3 FROM p WHERE term = 'building')")
 def n_when_filter(spark, d):
-    messages, refs, index = order_parts(spark, d)
+    messages, refs, index = kept_parts(spark, d)
     hits = scope.any_of(index, ["place"])
     when = scope.When(knowledge_type="action", date_range=SPAN, scope_terms=("building",))
     return scope.apply(hits, refs, messages, index, when).select("semantic_ref_ordinal")
@@ -652,7 +672,7 @@ def n_when_filter(spark, d):
  FROM t, (VALUES ('bilding'), ('custmer')) v(asked) WHERE levenshtein(asked, term) <= 3) WHERE n <= 3"""
 )
 def n_fuzzy_terms(spark, d):
-    return scope.fuzzy(order_parts(spark, d)[2], ["bilding", "custmer"], most=3, distance=3).withColumn("distance", F.col("distance").cast("bigint"))
+    return scope.fuzzy(kept_parts(spark, d)[2], ["bilding", "custmer"], most=3, distance=3).withColumn("distance", F.col("distance").cast("bigint"))
 
 
 # ---------------------------------------------------------------- tools and streams
@@ -700,3 +720,142 @@ def st_session(spark, d):
     from palaver.streaming.ingest import sessions
 
     return _plain(sessions(corpora.read(spark, d, "events"), "6 hours"), "begin", "end")
+
+
+@query(ORACLE["st_session"])
+def st_session_stream(spark, d):
+    from palaver.streaming.ingest import stream_sessions
+
+    return _plain(stream_sessions(corpora.read(spark, d, "events"), "6 hours", "30 days"), "begin", "end")
+
+
+@query(ORACLE["c_chunk_fixed"])
+def st_rag_chunks(spark, d):
+    from palaver.streaming.ingest import stream_chunks
+
+    return stream_chunks(spark, d, 500, 50).select(*QUERIES["c_chunk_fixed"](spark, d).columns)
+
+
+# ---------------------------------------------------------------- additions, indexes, scopes, values
+
+
+@query(ORACLE["i_populate_refs"])
+def i_add_message(spark, d):
+    """The later half of the events added to a conversation of the earlier half."""
+    from palaver.conversation import Conversation
+
+    knowledge = corpora.event_knowledge(spark, d)
+    middle = knowledge.agg(F.floor(F.avg("message_ordinal")).alias("m")).collect()[0]["m"]
+    early, later = knowledge.where(F.col("message_ordinal") <= middle), knowledge.where(F.col("message_ordinal") > middle)
+    whole = Conversation.kept(store.Store(spark, f"{store.folder(spark)}/index-{uuid.uuid4().hex}").add(early)).add(later)
+    return whole.refs.select("semantic_ref_ordinal", "message_ordinal", "knowledge_type", "knowledge_json")
+
+
+def _metric_query(name: str, kind: str, sql: str):
+    @query(f"WITH {_Q}, {_E} SELECT chunk_pos, round({sql}, 6) AS distance FROM e, q ORDER BY {sql}, chunk_pos LIMIT 5")
+    def run(spark, d):
+        index = vector_index.create_index(kind)
+        near = index.search(index.assign(corpora.vectors(spark, d)), _query_vector(spark, d))
+        return near.select("chunk_pos", F.round("distance", 6).alias("distance"))
+
+    QUERIES.pop("run")
+    oracle = ORACLE.pop("run")
+    run.__name__ = name
+    QUERIES[name], ORACLE[name] = run, oracle
+
+
+_metric_query("v_knn_l2", "l2", "list_distance(v, qe) ** 2")
+_metric_query("v_knn_ip", "ip", "-list_dot_product(v, qe)")
+
+
+@query(ORACLE["v_batch_knn"])
+def v_index_reopened(spark, d):
+    """A cell index saved and opened again; with all cells probed it is exact."""
+    chunks = corpora.vectors(spark, d)
+    index = vector_index.create_index("cells", cells=None).fit(chunks)
+    index.probes = index.cells
+    path = f"{store.folder(spark)}/cells-{uuid.uuid4().hex}"
+    index.save(index.assign(chunks), path)
+    again, assigned = vector_index.CellIndex.load(spark, path)
+    asked = chunks.where(F.col("chunk_pos") % 100 == 0).select(F.col("chunk_pos").alias("query_id"), "embedding")
+    near = again.search_many(assigned, asked, 8).withColumn("d", F.round("distance", 9))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "chunk_pos")).cast("bigint")
+    return near.withColumn("rank", rank).where("rank <= 5").select("query_id", "chunk_pos", F.abs(F.round("distance", 6)).alias("distance"), "rank")
+
+
+@query(
+    f"""WITH {P}, o AS (SELECT ref, count(*) AS score FROM p WHERE term IN ('customer', 'nation_3') GROUP BY ref)
+ SELECT ref AS semantic_ref_ordinal, 2::BIGINT AS n_terms, (o.score + 1)::DOUBLE AS score FROM o JOIN p USING (ref) WHERE term = 'building'"""
+)
+def n_nested(spark, d):
+    group = scope.Group("and", (scope.Group("or", ("customer", "nation_3")), "building"))
+    return scope.search(kept_parts(spark, d)[2], group).select("semantic_ref_ordinal", "n_terms", "score")
+
+
+@query(
+    f"""WITH {P}, v(asked, term, weight) AS (VALUES ('place', 'place', 2.0), ('place', 'customer', 0.5), ('customer', 'customer', 1.0), ('customer', 'client', 0.9), ('customer', 'building', 0.9), ('nation_3', 'nation_3', 1.0)),
+ b AS (SELECT ref, asked, max(score * weight) AS score FROM p JOIN v USING (term) GROUP BY ref, asked)
+ SELECT ref AS semantic_ref_ordinal, count(*) AS n_terms, round(sum(score)::DOUBLE, 6) AS score FROM b GROUP BY ref"""
+)
+def n_related_terms(spark, d):
+    asked = [scope.SearchTerm("place", 2.0, (("customer", 0.5),)), scope.SearchTerm("customer", 1.0, None), scope.SearchTerm("nation_3")]
+    found_ = scope.search_terms(kept_parts(spark, d)[2], asked, _relations(spark))
+    return found_.select("semantic_ref_ordinal", "n_terms", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {P} SELECT ref AS semantic_ref_ordinal FROM p WHERE term = 'place' AND ref // 3 % 3 = 1 AND (ref // 3 BETWEEN 100 AND 899 OR ref // 3 BETWEEN 2000 AND 2500)")
+def n_when_tags(spark, d):
+    messages, refs, index = kept_parts(spark, d)
+    tagged = messages.withColumn("tags", F.array(F.concat(F.lit("t"), (F.col("message_ordinal") % 3).cast("string"))))
+    when = scope.When(tags=("t1", "other"), ranges=((100, 900), (2000, 2501)))
+    return scope.apply(scope.any_of(index, ["place"]), refs, tagged, index, when).select("semantic_ref_ordinal")
+
+
+@query(f"WITH {P} SELECT ref AS semantic_ref_ordinal FROM p WHERE term = 'status' AND ref // 3 IN (SELECT ref // 3 FROM p WHERE term = 'building') AND ref // 3 IN (SELECT ref // 3 FROM p WHERE term = 'nation')")
+def n_subquery(spark, d):
+    messages, refs, index = kept_parts(spark, d)
+    when = scope.When(within=scope.Group("and", ("building", "nation")))
+    return scope.apply(scope.any_of(index, ["status"]), refs, messages, index, when).select("semantic_ref_ordinal")
+
+
+@query(f"WITH {M} SELECT message_ordinal * 3 AS semantic_ref_ordinal FROM m")
+def n_wildcard(spark, d):
+    return scope.with_property(scope.properties(kept_parts(spark, d)[1]), "nation", "*").select("semantic_ref_ordinal")
+
+
+@query("SELECT c_custkey, lower(strip_accents(c_mktsegment)) = 'building' AS same FROM customer")
+def c_compare_plain(spark, d):
+    return corpora.read(spark, d, "customer").select("c_custkey", values.same_name(F.col("c_mktsegment"), F.lit("Búildïng")).alias("same"))
+
+
+@query("SELECT c_custkey, n_name = 'NATION_3' AS same FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def f_facet_equal(spark, d):
+    rows = corpora.read(spark, d, "customer").join(corpora.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    own, other = corpora.facet("Natión", F.col("n_name")), corpora.facet("nation", F.lit("NATION_3"))
+    return rows.select("c_custkey", values.same_facet(own, other).alias("same"))
+
+
+@query("SELECT o_orderkey, least(greatest(o_totalprice, 1000), 150000)::DOUBLE AS price FROM orders")
+def c_clamp(spark, d):
+    return corpora.read(spark, d, "orders").select("o_orderkey", values.clamp(F.col("o_totalprice").cast("double"), 1000.0, 150000.0).alias("price"))
+
+
+@query("SELECT o_orderkey, 'order' AS kind, o_orderpriority AS state, o_orderstatus AS extra FROM orders")
+def c_object_merge(spark, d):
+    base = F.create_map(F.lit("kind"), F.lit("order"), F.lit("state"), F.col("o_orderstatus"))
+    m = values.with_entry(values.merged(base, F.create_map(F.lit("state"), F.col("o_orderpriority"))), "extra", F.col("o_orderstatus"))
+    return corpora.read(spark, d, "orders").select("o_orderkey", m["kind"].alias("kind"), m["state"].alias("state"), m["extra"].alias("extra"))
+
+
+@query("SELECT conv_id, turn, contains(text, 'th') OR contains(text, 'ing') AS met FROM conversations")
+def c_any_match(spark, d):
+    return corpora.read(spark, d, "conversations").select("conv_id", "turn", values.any_of(F.col("text"), ["th", "ing"]).alias("met"))
+
+
+@query("SELECT count(*) AS n_read, count(*) FILTER (o_orderkey % 7 <> 0) AS n_completed, min(o_orderdate) FILTER (o_orderkey % 7 <> 0) AS earliest FROM orders")
+def x_add_timestamps(spark, d):
+    """Timestamps given as text; what can't be read isn't added."""
+    rows = corpora.read(spark, d, "orders")
+    text = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("no date "), F.col("o_orderkey").cast("string"))).otherwise(F.date_format("o_orderdate", context.STAMP))
+    added = rows.select("o_orderkey", temporal.parsed(text).alias("ts"))
+    return _plain(added.agg(F.count(F.lit(1)).alias("n_read"), F.count("ts").alias("n_completed"), F.min("ts").alias("earliest")), "earliest")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palaver import providers
 from palaver.functions import temporal
-from palaver.operators import expand, ingest, postings
+from palaver.operators import expand, ingest, postings, store
 from palaver.plans import context, query_ir
 from palaver.sources import corpora, documents
 
@@ -17,12 +17,26 @@ from palaver.sources import corpora, documents
 class Conversation:
     def __init__(self, messages: DataFrame, refs: DataFrame, index: DataFrame):
         self.messages, self.refs, self.index = messages, refs, index
+        self.tables: store.Store | None = None
 
     @classmethod
     def of(cls, knowledge: DataFrame) -> Conversation:
         refs = ingest.populate(knowledge)
         return cls(corpora.messages(knowledge), refs, postings.of(refs))
 
+    @classmethod
+    def kept(cls, tables: store.Store) -> Conversation:
+        """Over written tables; ``add`` appends to them."""
+        made = cls(tables.messages, tables.refs, tables.postings)
+        made.tables = tables
+        return made
+
+    def add(self, knowledge: DataFrame) -> Conversation:
+        """With further messages and their knowledge: only these are read, numbered after the refs there are, and indexed."""
+        if self.tables is None:
+            raise ValueError("only a conversation over written tables can grow; see Conversation.kept")
+        return Conversation.kept(self.tables.add(knowledge))
+
     @classmethod
     def from_file(cls, spark: SparkSession, path: str) -> Conversation:
         return cls.of(documents.knowledge_file(spark, path)[0])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,26 +32,48 @@ def from_messages(messages: DataFrame, extra: dict[str, str] | None = None) -> D
     return rows.select("message_ordinal", "chunk", name.alias("id"), "text", meta.alias("metadata"))
 
 
+#: More chunks than one text can have: an array holds no more.
+CHUNKS_MOST = 1 << 31
+
+
 class RagIndex:
-    """Chunks under a path of the shared storage; each addition is appended, so positions never shift."""
+    """Chunks under a path of the shared storage; each addition is appended, so positions never shift.
+
+    What is removed is written down with the number of the additions before it, so an id that is added again counts again.
+    """
 
     def __init__(self, spark: SparkSession, path: str, embed: Callable = providers.hashed, batch: int = 100, size: int = 1000, overlap: int = 100):
         self.spark, self.path, self.embed, self.batch, self.size_, self.overlap = spark, path.rstrip("/"), embed, batch, size, overlap
-        self.writes = 0
-        self.gone: list[str] = []
+        self.writes, self.removals = 0, 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **settings) -> RagIndex:
+        """An index saved by ``save``: its embeddings are taken over, nothing is embedded again."""
+        chunks, config = documents.read_chunks(spark, path)
+        index = cls(spark, f"{path.rstrip('/')}/opened-{uuid.uuid4().hex}", batch=config["batchSize"], size=config["chunkSize"], overlap=config["overlap"], **settings)
+        chunks.write.parquet(f"{index.path}/0")
+        index.writes = 1
+        return index
 
     def chunks(self) -> DataFrame:
         if not self.writes:
             return self.spark.createDataFrame([], CHUNKS)
-        rows = self.spark.read.parquet(*[f"{self.path}/{k}" for k in range(self.writes)])
-        return rows.where(~F.col("id").isin(*self.gone)) if self.gone else rows
+        rows = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/{k}").withColumn("__write", F.lit(k)) for k in range(self.writes)])
+        if self.removals:
+            gone = self.spark.read.parquet(*[f"{self.path}/gone-{k}" for k in range(self.removals)])
+            gone = gone.groupBy("id").agg(F.max("writes").alias("__writes"))
+            rows = rows.join(gone, "id", "left").where("__writes is null or __write >= __writes").drop("__writes")
+        return rows.select("chunk_pos", "id", "text", "metadata", "embedding")
 
     def size(self) -> int:
         return self.chunks().count()
 
     def add_chunks(self, df: DataFrame, order: str = "pos") -> None:
         """Rows (order, id, text, metadata) with a dense integer order; embedded in batches on the executors."""
-        base = self.chunks().agg(F.coalesce(F.max("chunk_pos") + 1, F.lit(0)).alias("n")).collect()[0]["n"]
+        base = 0
+        if self.writes:
+            base = self.spark.read.parquet(*[f"{self.path}/{k}" for k in range(self.writes)]).agg(F.max("chunk_pos").alias("n")).collect()[0]["n"]
+            base = 0 if base is None else base + 1
         placed = ordinals(df, order, F.lit(1), "chunk_pos", base)
         if "metadata" not in df.columns:
             placed = placed.withColumn("metadata", F.create_map().cast("map<string,string>"))
@@ -60,11 +84,11 @@ class RagIndex:
     def add_texts(self, texts: list[str], prefix: str = "text") -> None:
         df = self.spark.createDataFrame(list(enumerate(texts)), "pos bigint, text string")
         cut = from_texts(df, self.size_, self.overlap, prefix=prefix)
-        self.add_chunks(cut.withColumn("pos", F.col("pos") * 1_000_000 + F.col("chunk")))
+        self.add_chunks(cut.withColumn("pos", F.col("pos") * CHUNKS_MOST + F.col("chunk")))
 
     def add_messages(self, messages: DataFrame, extra: dict[str, str] | None = None) -> None:
         rows = from_messages(messages, extra)
-        self.add_chunks(rows.withColumn("pos", F.col("message_ordinal") * 1_000 + F.col("chunk")))
+        self.add_chunks(rows.withColumn("pos", F.col("message_ordinal") * CHUNKS_MOST + F.col("chunk")))
 
     def query(self, text: str, k: int = 5, least: float = 0.0, where: Column | None = None) -> DataFrame:
         return vector_index.query(self.chunks(), self.embed([text])[0].tolist(), k, least, where)
@@ -74,11 +98,13 @@ class RagIndex:
 
     def remove(self, ids: list[str]) -> int:
         _, n = vector_index.remove(self.chunks(), ids)
-        self.gone += ids
+        if ids:
+            self.spark.createDataFrame([(i, self.writes) for i in ids], "id string, writes int").write.parquet(f"{self.path}/gone-{self.removals}")
+            self.removals += 1
         return n
 
     def clear(self) -> None:
-        self.writes, self.gone, self.path = 0, [], f"{self.path}-cleared"
+        self.writes, self.removals, self.path = 0, 0, f"{self.path}-cleared"
 
     def save(self, path: str) -> None:
         documents.write_chunks(path, self.chunks(), {"batchSize": self.batch, "chunkSize": self.size_, "overlap": self.overlap})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from palaver.functions import vectors as V
 
 TOP_K = 5
+#: Queries that go to the chunks at once.
+BLOCK = 10_000
 
 
 def nearest(chunks: DataFrame, query, k: int = TOP_K, metric: str = "cosine", where: Column | None = None) -> DataFrame:
@@ -43,9 +47,12 @@ def join_nearest(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, index: C
     The queries go to the chunks in one block of a size that is checked; each batch of chunks is one matrix product and keeps its k best for each
     query, so what is shuffled is k rows a query and task. With ``index``, chunks have ``cell`` and only a query's probed cells count.
     """
-    block = queries.select("query_id", "embedding").limit(10_001).toPandas()
-    if len(block) > 10_000:
-        raise ValueError("more than 10,000 queries at once; give them in blocks")
+    n = queries.count()
+    if n > BLOCK:  # as many blocks as are needed, one after the other
+        blocks = 2 * -(-n // BLOCK)
+        parts = [join_nearest(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), chunks, k, index) for b in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    block = queries.select("query_id", "embedding").toPandas()  # BLOCK rows at most
     ids = block["query_id"].to_numpy()
     q = np.array(block["embedding"].tolist(), dtype=float)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(q) else q
@@ -79,15 +86,18 @@ class CellIndex:
 
     Centres are fitted on at most ``sample`` vectors; every vector is indexed. With ``recall``, fitting raises ``probes`` until up to 500 of
     the sampled vectors find that share of their ``TOP_K`` neighbours in the sample. Neighbours are farther apart
-    there than among all vectors, so more cells are probed than all of them need.
+    there than among all vectors, so more cells are probed than all of them need. Without ``cells`` there are as many as the square root of
+    the number of vectors, so that a query reads as many centres as vectors of a cell.
     """
 
-    def __init__(self, cells: int = 32, probes: int = 8, sample: int = 20_000, seed: int = 1, recall: float | None = None):
+    def __init__(self, cells: int | None = 32, probes: int = 8, sample: int = 20_000, seed: int = 1, recall: float | None = None):
         self.cells, self.probes, self.sample, self.seed, self.recall = cells, probes, sample, seed, recall
         self.centres = np.empty((0, 0))
 
     def fit(self, chunks: DataFrame) -> CellIndex:
         n = chunks.count()
+        if self.cells is None:
+            self.cells = max(1, int(n**0.5))
         some = chunks.where(F.pmod(F.xxhash64("chunk_pos"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, self.sample / max(n, 1))))
         x = np.array([r.embedding for r in some.select("embedding").orderBy("embedding").collect()], dtype=float)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
@@ -121,6 +131,20 @@ class CellIndex:
 
         return chunks.withColumn("cell", cell("embedding"))
 
+    def save(self, assigned: DataFrame, path: str) -> None:
+        """Centres and settings, and the vectors partitioned by cell."""
+        spark = assigned.sparkSession
+        assigned.repartition("cell").write.partitionBy("cell").parquet(f"{path}/vectors")
+        spark.createDataFrame([(json.dumps({"probes": self.probes, "centres": self.centres.tolist()}),)], "value string").coalesce(1).write.text(f"{path}/index")
+
+    @classmethod
+    def load(cls, spark, path: str) -> tuple[CellIndex, DataFrame]:
+        """A saved index and its vectors; a query reads only the folders of the cells it probes."""
+        kept = json.loads(spark.read.text(f"{path}/index").head()[0])
+        index = cls(len(kept["centres"]), kept["probes"])
+        index.centres = np.array(kept["centres"], dtype=float)
+        return index, spark.read.parquet(f"{path}/vectors")
+
     def search(self, assigned: DataFrame, query, k: int = TOP_K) -> DataFrame:
         near = np.argsort(-(self.centres @ np.array(query, dtype=float)))[: self.probes]
         return nearest(assigned.where(F.col("cell").isin(*[int(c) for c in near])), query, k)
@@ -130,6 +154,31 @@ class CellIndex:
         return join_nearest(queries, assigned, k, self)
 
 
+class ExactIndex:
+    """All vectors are looked at; ``metric`` is cosine, l2 or ip."""
+
+    def __init__(self, metric: str = "cosine"):
+        self.metric = metric
+
+    def fit(self, chunks: DataFrame) -> ExactIndex:
+        return self
+
+    def assign(self, chunks: DataFrame) -> DataFrame:
+        return chunks
+
+    def search(self, assigned: DataFrame, query, k: int = TOP_K) -> DataFrame:
+        return nearest(assigned, query, k, self.metric)
+
+
+def create_index(kind: str = "cosine", **settings) -> ExactIndex | CellIndex:
+    """An index by its name: an exact one by metric, or "cells" for approximate search."""
+    if kind == "cells":
+        return CellIndex(**settings)
+    if kind not in ("cosine", "l2", "ip"):
+        raise ValueError(f"no such index: {kind}")
+    return ExactIndex(kind)
+
+
 def remove(chunks: DataFrame, ids: list[str]) -> tuple[DataFrame, int]:
     """Chunks without those of these ids, and how many went; by id, so nothing shifts."""
     gone = chunks.where(F.col("id").isin(*ids)) if ids else chunks.limit(0)

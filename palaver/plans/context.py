@@ -7,14 +7,16 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palaver.operators import store
+
 #: Characters of the serialized context that refs, and messages, may reach.
 REF_BUDGET = 15_000
 MESSAGE_BUDGET = 15_000
 #: Characters of the empty wrappers around refs and messages.
 REF_BASE = 27
 MESSAGE_BASE = 16
-#: A ref takes 16 characters at least, so no more can fit than this; ranks beyond it are never ordered.
-MOST_REFS = 1000
+#: Characters that a ref takes at least; so no more than the budget's share of them can fit, and ranks beyond it needn't be ordered.
+LEAST_REF = 16
 IN_RANGE, OUT_OF_RANGE, TIMED = 1.5, 0.3, 1.1
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -82,11 +84,23 @@ def scored(postings: DataFrame, refs: DataFrame, messages: DataFrame, terms: lis
     return found.withColumn("score", base * F.col("weight") * factor)
 
 
-def ranked(found: DataFrame, most: int = MOST_REFS) -> DataFrame:
-    """The best refs with ``rank`` from 1: by score, then as they were found. A bounded top list, then numbers."""
-    order = [F.desc("score"), "term_pos", "semantic_ref_ordinal"]
-    best = found.orderBy(*order).limit(most)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+def _order() -> list[Column]:
+    return [F.desc("score"), F.col("term_pos"), F.col("semantic_ref_ordinal")]
+
+
+def ranked(found: DataFrame, budget: int = REF_BUDGET) -> DataFrame:
+    """The best refs with ``rank`` from 1, as many as can fit the budget: by score, then as they were found. A bounded top list, then numbers."""
+    best = found.orderBy(*_order()).limit(budget // LEAST_REF + 1)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*_order())).cast("bigint"))
+
+
+def ranked_all(found: DataFrame) -> DataFrame:
+    """All refs with ``rank`` from 1, whatever their number: ranges of the order are written, numbered each, and begin after the rows of those before."""
+    ranges = store.written(found.repartitionByRange(*_order()).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    base = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*_order()))
+    return ranges.withColumn("__own", own).join(base, "__range").withColumn("rank", (F.col("__base") + F.col("__own")).cast("bigint")).drop("__range", "__own", "__base")
 
 
 def ref_json() -> Column:

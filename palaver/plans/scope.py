@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palaver.operators import store
+
 
 def any_of(postings: DataFrame, terms: list[str]) -> DataFrame:
     """Refs with any of the terms: number of terms met, summed score, the terms."""
@@ -21,7 +24,7 @@ def all_of(postings: DataFrame, terms: list[str]) -> DataFrame:
 
 def most_of(postings: DataFrame, terms: list[str]) -> DataFrame:
     """Refs that meet as many of the terms as any ref does."""
-    hits = any_of(postings, terms)
+    hits = store.written(any_of(postings, terms))  # read twice
     best = hits.agg(F.max("n_terms").alias("n_terms"))
     return hits.join(F.broadcast(best), "n_terms")  # one row
 
@@ -65,17 +68,50 @@ def properties(refs: DataFrame) -> DataFrame:
 
 
 def with_property(table: DataFrame, name: str, value: str) -> DataFrame:
-    return table.where((F.col("name") == name.lower()) & (F.col("value") == value.lower())).select("conv_id", "semantic_ref_ordinal").distinct()
+    """Refs with a property of this value; ``*`` is any value."""
+    same = F.lit(True) if value == "*" else F.col("value") == value.lower()
+    return table.where((F.col("name") == name.lower()) & same).select("conv_id", "semantic_ref_ordinal").distinct()
+
+
+@dataclass(frozen=True)
+class SearchTerm:
+    """A term with its weight. ``related``: further terms with weights; empty for none, None for those that the relation table has."""
+
+    term: str
+    weight: float = 1.0
+    related: tuple[tuple[str, float], ...] | None = ()
+
+
+def search_terms(postings: DataFrame, asked: list[SearchTerm], table: DataFrame | None = None, weight: float = 0.9) -> DataFrame:
+    """(conv_id, semantic_ref_ordinal, n_terms, score): terms met by themselves or by a related term; each counts with the best of its scores."""
+    spark = postings.sparkSession
+    pairs = [(a.term.lower(), a.term.lower(), a.weight) for a in asked]
+    pairs += [(a.term.lower(), t.lower(), w) for a in asked for t, w in a.related or ()]
+    rows = spark.createDataFrame(pairs, "asked string, term string, weight double")
+    looked = [a.term.lower() for a in asked if a.related is None]
+    if table is not None and looked:
+        own = F.coalesce(*[F.when(F.col("term") == a.term.lower(), F.lit(float(a.weight))) for a in asked])
+        rows = rows.unionByName(table.where(F.col("term").isin(*looked)).select(F.col("term").alias("asked"), F.lower("related").alias("term"), (own * weight).alias("weight")))
+    hits = postings.join(rows, "term").groupBy("conv_id", "semantic_ref_ordinal", "asked").agg(F.max(F.col("score") * F.col("weight")).alias("score"))
+    return hits.groupBy("conv_id", "semantic_ref_ordinal").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("score").alias("score"))
 
 
 @dataclass(frozen=True)
 class When:
-    """All that is given must hold."""
+    """All that is given must hold. ``ranges`` are half-open; ``tags``: any of the message's; ``within``: messages that a search group finds."""
 
     knowledge_type: str | None = None
     date_range: tuple[datetime, datetime] | None = None
     scope_terms: tuple[str, ...] = ()
     messages: tuple[int, int] | None = None
+    ranges: tuple[tuple[int, int], ...] = ()
+    tags: tuple[str, ...] = ()
+    within: Group | None = None
+
+
+def thread_ranges(found: DataFrame) -> tuple[tuple[int, int], ...]:
+    """Ranges of threads (begin, end inclusive) that a description found: a short list by its k."""
+    return tuple((r["begin"], r["end"] + 1) for r in found.select("begin", "end").collect())
 
 
 def apply(hits: DataFrame, refs: DataFrame, messages: DataFrame, postings: DataFrame, when: When) -> DataFrame:
@@ -87,6 +123,14 @@ def apply(hits: DataFrame, refs: DataFrame, messages: DataFrame, postings: DataF
     key = ["conv_id", "message_ordinal"]
     if when.date_range:
         own = own.join(messages.where(F.col("ts").between(*[F.lit(x) for x in when.date_range])).select(*key), key, "left_semi")
+    if when.ranges:
+        m = F.col("message_ordinal")
+        own = own.where(reduce(lambda x, y: x | y, [(m >= a) & (m < b) for a, b in when.ranges]))
+    if when.tags:
+        own = own.join(messages.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in when.tags]))).select(*key), key, "left_semi")
+    if when.within:
+        there = search(postings, when.within).join(refs, ["conv_id", "semantic_ref_ordinal"]).select(*key)
+        own = own.join(there, key, "left_semi")
     if when.scope_terms:
         there = any_of(postings, list(when.scope_terms)).join(refs, ["conv_id", "semantic_ref_ordinal"]).select(*key)
         own = own.join(there, key, "left_semi")

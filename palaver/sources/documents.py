@@ -12,6 +12,8 @@ from palaver.schemas import ACTION, ENTITY, EXPORT, TOPIC
 
 RULE = "=" * 80
 SHORTEST = 10
+#: Messages, refs and postings that one JSON document may hold.
+DOCUMENT_ROWS = 5_000_000
 _VALUE = "array<struct<name:string,value:string>>"
 KNOWLEDGE = (
     "entities array<struct<name:string,type:array<string>,facets:" + _VALUE + ">>,"
@@ -56,7 +58,11 @@ def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
 
 
 def write_export(path: str, messages: DataFrame, refs: DataFrame, postings: DataFrame) -> None:
-    """One JSON document, as people exchange it. Indexes of any size are written as tables instead (``write_tables``)."""
+    """One JSON document, as people exchange it, made in one task; an index of over ``DOCUMENT_ROWS`` rows is refused and
+    has to be written as tables (``write_tables``)."""
+    rows = messages.count() + refs.count() + postings.count()
+    if rows > DOCUMENT_ROWS:
+        raise ValueError(f"{rows} rows are too many for one document; write_tables takes any number")
     posting = F.struct(F.col("semantic_ref_ordinal").alias("semanticRefOrdinal"), "score")
     items = postings.groupBy("term").agg(F.array_sort(F.collect_list(posting)).alias("semanticRefOrdinals"))
     items = items.agg(F.array_sort(F.collect_list(F.struct("term", "semanticRefOrdinals"))).alias("items"), F.count(F.lit(1)).alias("termCount"))
