@@ -5,10 +5,13 @@ that never are article text (menus, headers, footers, side bars, notices, advert
 styles, hidden parts) are left out by element, role, class or id. Each text block gives one point, one for
 each comma and one for each 100 characters (three at most) to the element around it and half and
 a quarter to those above; an element's score is discounted by the share of its characters that are links.
-The best element, or the article it lies in, is kept with siblings that score near it.
+The best element, or the article it lies in, is kept with siblings that score near it. Where there is no article and the best element holds
+less than ``SHARE`` of the page's points (sections under different parents), the lowest element around it that holds as much
+takes its place, and those of its children that would be kept as siblings are kept.
 
 Null and empty html give an empty text. Broken markup is read as far as it goes: closing tags
-close what is open within them, paragraphs and list items end where the next begins. Pages are judged alone.
+close what is open within them, paragraphs and list items end where the next begins. Pages are judged alone, so repeated rows get equal
+texts; of elements with equal scores the one that begins first wins. A page of any length is read whole. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -44,17 +47,20 @@ MARKS = set(
 )
 #: With these, ``header`` and the like name a part of the article itself.
 OWN = set("article entry post content story main body".split())
+ALONE = set("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+#: Of a page's points, what the element that is kept holds at least.
+SHARE = 0.8
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 WORD = re.compile(r"[a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "up", "skip", "score", "chars", "links")
+    __slots__ = ("tag", "up", "skip", "score", "chars", "links", "points")
 
     def __init__(self, tag: str, up: Node | None, skip: bool):
         self.tag, self.up, self.skip = tag, up, skip
-        self.score, self.chars, self.links = 0.0, 0, 0
+        self.score, self.chars, self.links, self.points = 0.0, 0, 0, 0
 
     def density(self) -> float:
         return self.links / self.chars if self.chars else 0.0
@@ -201,6 +207,7 @@ def extract(html: str | None) -> str:
             up, part = up.up, part / 2
         up = node
         while up:
+            up.points += points
             up.chars += len(text)
             up.links += links
             up = up.up
@@ -212,12 +219,17 @@ def extract(html: str | None) -> str:
             break
         up = up.up
     limit = max(3.0, 0.2 * best.value())
+    fits = lambda x, value: value >= limit and x.density() < 0.5 or x.tag in ALONE and x.density() < 0.25
+    around = best
+    while best.tag not in ("article", "main") and around.up and around.points < SHARE * nodes[0].points:
+        around = around.up
     kept = {id(best)}
-    if best.up:
+    if around is not best and not (around is best.up and around.tag not in ("body", "html", "")):
+        kept.update(id(x) for x in nodes if x.up is around and not x.skip and fits(x, x.points * (1 - x.density())))
+    elif best.up:
         for x in nodes:
             if x.up is best.up and x is not best and not x.skip and best.tag not in ("body", "html", ""):
-                alone = x.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote") and x.density() < 0.25
-                if x.value() >= limit and x.density() < 0.5 or alone:
+                if fits(x, x.value()):
                     kept.add(id(x))
     out = []
     for node, text, _ in blocks:
@@ -225,7 +237,7 @@ def extract(html: str | None) -> str:
         while up:
             if up.tag in ("ul", "ol") and up.density() > 0.75:
                 menu = True
-            if id(up) in kept:
+            if id(up) in kept or up is node and up is around and around is not best:
                 inside = True
                 break
             up = up.up
