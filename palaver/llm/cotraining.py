@@ -213,7 +213,7 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", labelled: i
     sets = [features(t) for t in sample["text"]]
     known = vocabulary(sets)
     views = lambda pdf, sets: ([places(s, known) for s in sets], [metadata(*x) for x in zip(pdf["source"], pdf["lang"], pdf["n_chars"], strict=True)])
-    fold = np.array([zlib.crc32(str(i).encode()) % 6 for i in sample["id"]])
+    fold = np.array([zlib.crc32(str(i).encode()) % 8 for i in sample["id"]])
     model = Model(known).fit(*views(sample, sets), sample["y"].to_numpy(float), fold, *views(rest, [features(t) for t in rest["text"]]))
     schema = f"id {dict(docs.dtypes)[id]}, text_score double, meta_score double, score double, kept boolean"
     return own.mapInPandas(lambda it: _scored(it, model), schema).withColumnRenamed("id", id)

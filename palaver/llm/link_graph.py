@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import stage
+from palaver.llm.common import fresh, stage
 
 #: Fixed values: (verdict, host, path).
 RULES = (
@@ -110,17 +110,18 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     seen = pages.select(*own, F.coalesce(host(F.col("url")), F.lit("")).alias("host"), F.coalesce(path(F.col("url")), F.lit("")).alias("path"))
     name, verdict = rule(F.col("host"), F.col("path"), rules)
-    seen = seen.select("*", name.alias("rule"), verdict.alias("ruled"))
+    ruled, blocked = fresh(seen.withColumns({"rule": F.lit(0), "verdict": F.lit(0)}), "ruled", "blocked")
+    seen = seen.select("*", name.alias("rule"), verdict.alias(ruled))
     links = stage(edges(seen.select("host", "html")))
-    seeds = stage(seen.where("ruled is not null").groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad")))
+    seeds = stage(seen.where(F.col(ruled).isNotNull()).groupBy("host").agg(F.count_if(F.col(ruled) == "allow").alias("good"), F.count_if(F.col(ruled) == "block").alias("bad")))
     sums = seeds.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).collect()[0]
     part = lambda c: seeds.where(F.col(c) > 0).select(F.lit(c).alias("kind"), "host", (F.col(c) / max(sums[c], 1)).alias("w"))
     ways = links.select(F.lit("good").alias("kind"), "a", "b", "n").unionByName(links.select(F.lit("bad").alias("kind"), F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     rank = propagate(ways, part("good").unionByName(part("bad")))
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)).alias(kind)
     bad = stage(rank.groupBy("host").agg(of("good"), of("bad")).where(F.col("bad") > threshold * F.col("good")).select("host"))
-    marked = seen.join(bad.withColumn("bad", F.lit(True)), "host", "left")
-    last = F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow"))
+    marked = seen.join(bad.withColumn(blocked, F.lit(True)), "host", "left")
+    last = F.coalesce(ruled, F.when(F.col(blocked), "block").otherwise("allow"))
     return marked.select(*own, "host", "path", "rule", last.alias("verdict"))
 
 

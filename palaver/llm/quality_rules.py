@@ -140,12 +140,12 @@ def compile_rules(rules: tuple[Rule, ...], m: Column) -> Column:
     return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
 
 
-def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, quality: str = "quality") -> DataFrame:
     """All rows and columns of ``df`` and a struct ``quality``: counts, ``base_failed``, ``broken`` (rule names), ``kept``.
 
-    A column of ``df`` that is called ``quality`` is replaced. Null and empty texts have no words and fail the base rule.
+    A column of ``df`` that has the struct's name is replaced. Null and empty texts have no words and fail the base rule.
     """
-    rest = [c for c in df.columns if c != "quality"]
+    rest = [c for c in df.columns if c != quality]
     own = df.select(*[F.col(f"`{c}`") for c in rest])
     into, failing, breaking = fresh(own, "m", "failed", "broken")
     seen = measures(own, text, into)
@@ -159,7 +159,7 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
             F.col(failing).alias("base_failed"),
             F.col(breaking).alias("broken"),
             (~F.col(failing) & (F.size(breaking) == 0)).alias("kept"),
-        ).alias("quality"),
+        ).alias(quality),
     )
 
 
