@@ -859,3 +859,32 @@ def x_add_timestamps(spark, d):
     text = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("no date "), F.col("o_orderkey").cast("string"))).otherwise(F.date_format("o_orderdate", context.STAMP))
     added = rows.select("o_orderkey", temporal.parsed(text).alias("ts"))
     return _plain(added.agg(F.count(F.lit(1)).alias("n_read"), F.count("ts").alias("n_completed"), F.min("ts").alias("earliest")), "earliest")
+
+
+@query("SELECT event_id, event_id % 9 <> 0 AS good FROM events")
+def c_schema_valid(spark, d):
+    """Actions as JSON against their schema; every ninth is broken off."""
+    rows = corpora.read(spark, d, "events")
+    json = values.serialized(F.struct(F.array("event_type").alias("verbs"), F.col("user_id").alias("subject")))
+    told = F.when(F.col("event_id") % 9 == 0, F.substring(json, F.lit(1), F.char_length(json) - 1)).otherwise(json)
+    return rows.select("event_id", values.fits(told, "verbs array<string>, subject bigint", ("verbs", "subject")).alias("good"))
+
+
+@query("SELECT event_id, event_type AS verb, user_id AS subject FROM events")
+def c_json_round(spark, d):
+    rows = corpora.read(spark, d, "events")
+    json = values.serialized(F.struct(F.array("event_type").alias("verbs"), F.col("user_id").alias("subject")))
+    read = rows.select("event_id", values.deserialized(json, "verbs array<string>, subject bigint").alias("x"))
+    return read.select("event_id", F.col("x.verbs")[0].alias("verb"), F.col("x.subject").alias("subject"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(0, greatest(length(t), 1)::BIGINT, 2048)) AS a FROM d)
+ SELECT doc_id, a // 2048 AS piece, length(substr(t, a + 1, 2048)) AS n FROM p"""
+)
+def i_extractor_pieces(spark, d):
+    from palaver.settings import ExtractorSettings
+
+    docs = corpora.read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cut = ExtractorSettings().pieces(docs)
+    return cut.select("doc_id", F.col("piece").cast("bigint").alias("piece"), F.char_length("piece_text").cast("bigint").alias("n"))

@@ -38,3 +38,20 @@ def with_entry(m: Column, key: str, value: Column) -> Column:
 def any_of(text: Column, parts: list[str]) -> Column:
     """Does the text hold any of the parts?"""
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts], F.lit(False))
+
+
+def serialized(value: Column) -> Column:
+    return F.to_json(value)
+
+
+def deserialized(json: Column, schema: str) -> Column:
+    return F.from_json(json, schema)
+
+
+def fits(json: Column, schema: str, required: tuple[str, ...] = ()) -> Column:
+    """Is the text JSON of this schema, with the required fields present?"""
+    read = F.from_json(json, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    good = read.isNotNull() & read["_bad"].isNull()
+    for name in required:
+        good = good & read[name].isNotNull()
+    return F.coalesce(good, F.lit(False))
