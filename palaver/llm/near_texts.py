@@ -11,14 +11,17 @@ sets of similarity 0.8 agree in a key with probability 0.8^4, and miss one anoth
 In a bucket nodes come in the order of their least rows; each is compared exactly with those of the groups it isn't in yet, a
 group being a component of the links found so far, so a link between any two groups is found and none within a group is
 looked for. A later round leaves out the buckets that are one component by then. No pairs are made but the links. Buckets of the
-same members are compared once. A bucket of over ``BUCKET`` nodes is dealt into parts by hash, and then the first nodes of the groups
-that are left meet in parts eight times as large: two groups none of whose members met in a part are joined if their first nodes are similar.
+same members are compared once. A bucket of over ``BUCKET`` nodes is dealt into parts by hash, and then, as long as that halves them, the
+first nodes of the groups that are left, so that a large group of near copies becomes one. What such buckets still hold of different groups
+is compared exactly at the end: two similar sets share a shingle of their first fifth and one more in any order, and with the rarest first the
+nodes that share one are few. Those of a shingle that is in over ``BUCKET`` such beginnings meet in blocks, each block with each.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -35,8 +38,10 @@ SIMILAR = 0.8
 BANDS, ROWS = 32, 4
 #: The sampled fingerprints of each round after the first.
 ROUNDS = ((0, 2), (2, 8), (8, BANDS))
-#: Nodes of a bucket that are compared in one task at first.
+#: Nodes that are compared in one task.
 BUCKET = 2048
+#: Cells of the table by which shingles are ordered as rare or frequent; the order needn't be exact, only the same for all.
+CELLS = 1 << 16
 _RNG = np.random.default_rng(20240517)
 XORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)[:, None]
 TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -68,6 +73,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
+def prefix(own: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
+    """A set's least fifth and one more, of which two similar sets each have one of the other; ``often``: the rarest of it, by cells."""
+    n = len(own) - int(np.ceil(SIMILAR * len(own) - 1e-9)) + 1
+    if often is None:
+        return own[:n]
+    return own[np.lexsort((own, often[(own % np.uint64(CELLS)).astype(np.int64)]))[:n]]
+
+
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         fps, nodes, keys = [], [], []
@@ -96,14 +109,13 @@ class Bucket:
             root = to
         return root
 
-    def add(self, root: int, own: np.ndarray) -> list[tuple[int, int]]:
+    def add(self, root: int, own: np.ndarray, often: np.ndarray | None = None) -> list[tuple[int, int]]:
         """Links (a, b) of a node's root to those of members of other groups; one for each group it is similar to."""
-        # of two similar sets each has a shingle of the other among its least fifth and one more
-        prefix = own[: len(own) - int(np.ceil(SIMILAR * len(own) - 1e-9)) + 1].tolist()
+        begin = prefix(own, often).tolist()
         links, seen = [], set()
         for some in (1, None):  # mostly a group's first member is similar, or none
             tried: set[int] = set()
-            for h in prefix:
+            for h in begin:
                 for members in self.early.get(h, ()):
                     if self.group(self.roots[members[0]]) != self.group(root):
                         tried.update(members[:some])
@@ -112,7 +124,7 @@ class Bucket:
                     links.append((self.roots[k], root))
                     self.up[self.group(root)] = self.group(self.roots[k])
             seen = tried
-        for h in prefix:
+        for h in begin:
             lists = self.early.setdefault(h, [])
             for members in lists:
                 if self.group(self.roots[members[0]]) == self.group(root):
@@ -125,7 +137,7 @@ class Bucket:
         return links
 
 
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _linked(batches: Iterator[pd.DataFrame], often: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
     """Links (a, b) between roots from rows (bucket, part, root, text), each part of a bucket whole and in order."""
     here, bucket = None, Bucket()
     for pdf in batches:
@@ -133,10 +145,26 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for *at, root, text in zip(pdf["bucket"], pdf["part"], pdf["root"], pdf["text"], strict=True):
             if at != here:
                 here, bucket = at, Bucket()
-            out += bucket.add(root, shingles(text))
+            out += bucket.add(root, shingles(text), often)
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many shingles of the texts fall in each cell."""
+    often = np.zeros(CELLS, np.int64)
+    for pdf in batches:
+        every = np.concatenate([np.empty(0, np.uint64), *[shingles(t) for t in pdf["text"]]])
+        often += np.bincount((every % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    yield pd.DataFrame({"cell": np.arange(CELLS), "n": often})
+
+
+def _begun(batches: Iterator[pd.DataFrame], often: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(bucket, node): each node with the shingles of its beginning."""
+    for pdf in batches:
+        begins = [prefix(shingles(t), often).view(np.int64) for t in pdf["text"]]
+        yield pd.DataFrame({"bucket": np.concatenate([np.empty(0, np.int64), *begins]), "node": np.repeat(pdf["node"].to_numpy(), [len(b) for b in begins])})
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
@@ -165,23 +193,62 @@ def _several(members: DataFrame) -> DataFrame:
     return stage(members.join(once, "bucket").select("bucket", "node", "root", "at", "n"))
 
 
-def _compared(met: DataFrame, texts: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
-    """``roots`` after the links of all buckets."""
-    spark = met.sparkSession
-    while True:
-        part = F.when(F.col("n") > limit, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / limit))).otherwise(0)
-        rows = met.join(texts, "node").select("bucket", part.cast("long").alias("part"), "root", "at", "text")
-        rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "at").select("bucket", "part", "root", "text")
-        links = stage(rows.mapInPandas(_linked, "a long, b long"))
-        roots = _joined(roots, links)
+def _met(rows: DataFrame, texts: DataFrame, roots: DataFrame, often: np.ndarray | None = None) -> DataFrame:
+    """``roots`` after the links within each part of each bucket; rows (bucket, part, node, root, at)."""
+    rows = rows.join(texts, "node").select("bucket", F.col("part").cast("long").alias("part"), "root", "at", "text")
+    rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "at").select("bucket", "part", "root", "text")
+    links = stage(rows.mapInPandas(partial(_linked, often=often), "a long, b long"))
+    roots = _joined(roots, links)
+    release(rows.sparkSession, links)
+    return roots
+
+
+def _compared(met: DataFrame, texts: DataFrame, roots: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """``roots`` after the links of all buckets; and the members of those of over ``limit`` nodes, of whose groups some may still have links."""
+    spark, whole = met.sparkSession, None
+    for k in itertools.count():
+        dealt = F.pmod(F.xxhash64("node", F.lit(k)), F.ceil(F.col("n") / limit))
+        roots = _met(met.withColumn("part", F.when(F.col("n") > limit, dealt).otherwise(0)), texts, roots)
         large = met.where(F.col("n") > limit)
-        left = None if large.isEmpty() else stage(_rooted(large, roots).groupBy("bucket", "root").agg(F.min_by("node", "at").alias("node"), F.min("at").alias("at")))
-        release(spark, met, links)
-        if left is None:
-            return roots
+        before = large.count()
+        if not before:
+            release(spark, met)
+            return roots, whole
+        if whole is None:
+            whole = stage(large.select("bucket", "node", "at"))
+        left = stage(_rooted(large, roots).groupBy("bucket", "root").agg(F.min_by("node", "at").alias("node"), F.min("at").alias("at")))
+        release(spark, met)
         met = _several(left)
         release(spark, left)
-        limit *= 8
+        if 2 * met.count() > before:
+            release(spark, met)
+            return roots, whole
+
+
+def _rest(nodes: DataFrame, texts: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
+    """``roots`` after all links between ``nodes`` (node, at), whichever buckets they were in."""
+    spark = nodes.sparkSession
+    own = stage(nodes.join(texts, "node").select("node", "at", "text"))
+    often = np.zeros(CELLS, np.int64)
+    for r in own.select("text").mapInPandas(_cells, "cell int, n long").groupBy("cell").sum("n").collect():  # CELLS rows
+        often[r[0]] = r[1]
+    begun = own.select("node", "text").mapInPandas(partial(_begun, often=often), "bucket long, node long")
+    members = stage(begun.join(own.select("node", "at"), "node"))
+    met = _several(_rooted(members, roots))
+    roots = _met(met.where(F.col("n") <= limit).withColumn("part", F.lit(0)), texts, roots, often)
+    large = stage(_rooted(met.where(F.col("n") > limit), roots))
+    release(spark, own, members, met)
+    met = _several(large)
+    left = stage(_rooted(met, roots).select("node", "root", "at").distinct())
+    release(spark, large, met)
+    blocks = -(-2 * left.count() // limit)
+    if blocks:
+        # a block goes to its meeting with each other one; blocks hold half of what one task takes
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        rows = left.withColumn("x", F.pmod(F.xxhash64("node"), F.lit(blocks))).withColumn("y", every).where("x <> y")
+        roots = _met(rows.select(F.least("x", "y").alias("bucket"), F.greatest("x", "y").alias("part"), "node", "root", "at"), texts, roots, often)
+    release(spark, left)
+    return roots
 
 
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", limit: int = BUCKET) -> DataFrame:
@@ -207,14 +274,22 @@ def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", limit: int =
     asked = _union([met.select("node", "at") for met in every])
     asked = asked.select("node", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).distinct()
     texts = stage(own.join(asked, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]))
-    roots = spark.createDataFrame([], "node long, root long")
+    roots, wholes = spark.createDataFrame([], "node long, root long"), []
     for k, met in enumerate(every):
         if k:  # a bucket that is one component already has nothing to add
             left = stage(_rooted(met, roots))
             release(spark, met)
             met = _several(left)
             release(spark, left)
-        roots = _compared(met, texts, roots, limit)
+        roots, whole = _compared(met, texts, roots, limit)
+        if whole is not None:
+            wholes.append(whole)
+    if wholes:  # several groups of a large bucket may have links that no part showed
+        met = _several(_rooted(_union(wholes), roots))
+        release(spark, *wholes)
+        if not met.isEmpty():
+            roots = _rest(met.select("node", "at").distinct(), texts, roots, limit)
+        release(spark, met)
     release(spark, texts)
     found = nodes.select("node", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = stage(found.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.k1").alias(k1), F.col("at.k2").alias(k2)))

@@ -60,3 +60,24 @@ def test_bucket_joins_groups_through_a_later_node():
     assert bucket.add(2, run(16)) == []
     assert sorted(bucket.add(3, run(8))) == [(1, 3), (2, 3)]
     assert bucket.add(2, run(8)) == []
+
+
+def test_large_bucket_loses_no_link(spark):
+    """Two chains that only a pair of later nodes joins, in a bucket of many more nodes than one task takes."""
+    text = lambda *edits: " ".join(edits[i // 5] if i % 5 == 2 and i // 5 < len(edits) and edits[i // 5] else f"w{i}" for i in range(100))
+    apart = [text(*[f"x{k}e{j}" for j in range(6)]) for k in range(40)]  # each differs from all others
+    chain = [text(*["a" if i >= j else "" for j in range(1, 13)]) for i in range(13)]  # neighbours share a fifth less
+    rows = list(enumerate(apart + chain))
+    want = least_of_groups(rows)
+    assert want == list(range(41))
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_texts.keep_one(whole, limit=4).collect()) == want
+    nodes = spark.createDataFrame([(k, (k,), t) for k, t in rows], "node long, at struct<id: long>, text string")
+    texts, none = nodes.select("node", "text"), spark.createDataFrame([], "node long, root long")
+    met = near_texts._several(nodes.selectExpr("1L AS bucket", "node", "node AS root", "at"))
+    roots, left = near_texts._compared(met, texts, none, 4)
+    assert left.count() == len(rows)
+    roots = near_texts._rest(left.select("node", "at").distinct(), texts, roots, 4)
+    found = {r.node: r.root for r in near_texts._rooted(nodes, roots).collect()}
+    assert len({found[k] for k in range(40, 53)}) == 1
+    assert len({found[k] for k in range(53)}) == 41
