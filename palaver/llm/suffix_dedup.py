@@ -99,14 +99,13 @@ WORDWISE = Strings(_words, WORDS * 8, GRAM_WORDS * 8, 8)
 
 
 def _minima(buf: np.ndarray, valid: np.ndarray, kind: Strings) -> np.ndarray:
-    """Positions of the anchors of the windows whose starts are ``valid``."""
-    n, w = len(buf) - kind.gram + 1, kind.length - kind.gram + 1
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[buf] * POWERS[: len(buf)], dtype=np.uint64)))
-    key = (sums[kind.gram :] - sums[: -kind.gram]) * INVERSE[:n]
+    """Positions, in symbols, of the anchors of the windows whose starts are ``valid``."""
+    symbols, gram = (BYTES[buf] if kind.width == 1 else buf.view("<u8")), kind.gram // kind.width
+    n, w = len(symbols) - gram + 1, (kind.length - kind.gram) // kind.width + 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(symbols * POWERS[: len(symbols)], dtype=np.uint64)))
+    key = (sums[gram:] - sums[:-gram]) * INVERSE[:n]
     key *= np.uint64(0xD6E8FEB86659FD93)  # the high bits decide, and low bits of a polynomial know few bytes
     key = (key & ~LOW) | (LOW - np.arange(n, dtype=np.uint64))
-    if kind.width > 1:
-        key[np.arange(n) % kind.width > 0] = ~np.uint64(0)  # anchors begin where symbols do
     rows = -(-n // w)
     full = np.full(rows * w, ~np.uint64(0))
     full[:n] = key
@@ -123,26 +122,26 @@ def _minima(buf: np.ndarray, valid: np.ndarray, kind: Strings) -> np.ndarray:
 def anchors(texts: list[bytes], kind: Strings = BYTEWISE) -> Iterator[tuple[int, int]]:
     """(index of the text, position) of each anchor, in order."""
     length = kind.length
-    pieces: list[tuple[int, int, bytes, int]] = []  # text, its offset, bytes, number of windows
+    pieces: list[tuple[int, int, bytes, int]] = []  # text, its offset, bytes, number of windows (one begins at each symbol)
 
     def flush() -> list[tuple[int, int]]:
         buf = np.frombuffer(b"".join(p[2] for p in pieces), dtype=np.uint8)
-        begin = np.concatenate(([0], np.cumsum([len(p[2]) for p in pieces])))
-        valid = np.zeros(len(buf), dtype=bool)
+        begin = np.concatenate(([0], np.cumsum([len(p[2]) // kind.width for p in pieces])))
+        valid = np.zeros(len(buf) // kind.width, dtype=bool)
         for b, p in zip(begin, pieces, strict=False):
-            valid[b : b + p[3] : kind.width] = True
+            valid[b : b + p[3]] = True
         at = _minima(buf, valid, kind)
         which = np.searchsorted(begin, at, side="right") - 1
         own = np.array([p[0] for p in pieces])[which]
-        pos = at - begin[which] + np.array([p[1] for p in pieces])[which]
+        pos = (at - begin[which]) * kind.width + np.array([p[1] for p in pieces])[which]
         pieces.clear()
         return list(zip(own.tolist(), pos.tolist(), strict=True))
 
     last, filled = (-1, -1), 0
     for i, t in enumerate(texts):
         for a in range(0, len(t) - length + 1, PIECE):
-            windows = min(PIECE, len(t) - length + 1 - a)
-            part = t[a : a + windows + length - 1]
+            windows = min(PIECE // kind.width, (len(t) - length - a) // kind.width + 1)
+            part = t[a : a + (windows - 1) * kind.width + length]
             if pieces and filled + len(part) > PIECE + length:
                 for x in flush():
                     if x > last:  # slices of a long text meet in an anchor
@@ -194,7 +193,7 @@ def _contexts(batches: Iterator[pd.DataFrame], kind: Strings) -> Iterator[pd.Dat
 def suffix_sort(text: np.ndarray, at: np.ndarray, most: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes text[at : at + most] within their groups [begin, end), and each one's common extension with the one before it in its group (0 for the first)."""
     powers = POWERS[: len(text) + 1] if base == BASE and len(text) < len(POWERS) else _powers(base, len(text) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[text] * powers[:-1], dtype=np.uint64)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((BYTES[text] if text.dtype == np.uint8 else text) * powers[:-1], dtype=np.uint64)))
 
     def extension(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         x, y = at[i], at[j]
@@ -248,13 +247,14 @@ def suffix_sort(text: np.ndarray, at: np.ndarray, most: np.ndarray, begin: np.nd
 
 def shared_windows(groups: np.ndarray, contexts: list[bytes], left: np.ndarray, right: np.ndarray, kind: Strings = BYTEWISE) -> np.ndarray:
     """For each context (groups sorted) and each d: does another context of its group hold the window that begins d symbols before the anchor?"""
-    n, length = len(contexts), kind.length
-    steps = np.arange(0, length - kind.gram + 1, kind.width)
+    n, length = len(contexts), kind.length // kind.width
+    left, right = left // kind.width, right // kind.width
+    steps = np.arange(0, length - kind.gram // kind.width + 1)
     cut = np.flatnonzero(groups[1:] != groups[:-1]) + 1
     sizes = np.diff(np.concatenate(([0], cut, [n])))
     begin, end = np.repeat(np.concatenate(([0], cut)), sizes), np.repeat(np.concatenate((cut, [n])), sizes)
-    text = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-    at = np.concatenate(([0], np.cumsum([len(c) for c in contexts])[:-1])) + left
+    text = np.frombuffer(b"".join(contexts), dtype=np.uint8 if kind.width == 1 else "<u8")
+    at = np.concatenate(([0], np.cumsum([len(c) // kind.width for c in contexts])[:-1])) + left
     to_right, ext_right = suffix_sort(text, at, right, begin, end)
     to_left, ext_left = suffix_sort(np.ascontiguousarray(text[::-1]), len(text) - at, left, begin, end)
 
@@ -413,6 +413,15 @@ def merge(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def without(text: bytes, runs) -> bytes:
+    """The text without maximal runs."""
+    at, left = 0, []
+    for a, b in runs:
+        left.append(text[at:a])
+        at = b
+    return b"".join([*left, text[at:]])
+
+
 def in_text(text: bytes, runs) -> list[tuple[int, int]]:
     """Byte ranges of the text from maximal runs of its words' codes, of ``WORDS`` whole words at least."""
     begin, end = word_places(text)
@@ -427,7 +436,7 @@ def marked(own: DataFrame, k1: str, k2: str, text: str, into: str, length: int =
     """``own`` (with the keys k1, k2) and a column ``into``, null for rows that lose nothing: ``kept`` (binary), ``less`` (the same as
     text, a character cut in part goes whole) and the maximal runs ``begins``, ``ends`` that are gone. The rows' texts are shuffled once.
 
-    ``words``: windows of ``WORDS`` words are looked for as well as those of ``length`` bytes.
+    ``words``: ``less`` is without windows of ``WORDS`` words as well as those of ``length`` bytes; the others go by bytes alone.
     """
     a, b, x, y = fresh(own, "a", "b", "x", "y")
     plain = own.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(text).alias("text"))
@@ -444,13 +453,11 @@ def marked(own: DataFrame, k1: str, k2: str, text: str, into: str, length: int =
         rows = []
         for text, *found in zip(texts, a, b, x, y, strict=True):
             a, b, x, y = ([] if v is None else v for v in found)
-            t, at, left = (text or "").encode(), 0, []
-            runs = merge([*zip(a, b, strict=True), *in_text(t, merge(zip(x, y, strict=True)))])
-            for begin, end in runs:
-                left.append(t[at:begin])
-                at = end
-            kept = b"".join([*left, t[at:]])
-            rows.append((kept, kept.decode(errors="ignore"), [r[0] for r in runs], [r[1] for r in runs]))
+            t = (text or "").encode()
+            runs = merge(zip(a, b, strict=True))
+            kept = without(t, runs)
+            both = without(t, merge([*runs, *in_text(t, merge(zip(x, y, strict=True)))])) if len(x) else kept
+            rows.append((kept, both.decode(errors="ignore"), [r[0] for r in runs], [r[1] for r in runs]))
         return pd.DataFrame(rows, columns=["kept", "less", "begins", "ends"])
 
     some = F.col(a).isNotNull() | F.col(x).isNotNull()
@@ -472,10 +479,11 @@ def drop_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length:
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """Counts and digest by repeated strings of 400 bytes; ``text`` is the kept text, also without repeated passages of over 50 words that are shorter."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     gone, text, zero = F.col("cut"), F.coalesce("text", F.lit("")), F.lit(0).cast("long")
     removed = F.aggregate(F.zip_with(gone["ends"], gone["begins"], lambda b, a: (b - a).cast("long")), zero, lambda s, x: s + x)
-    return marked(keyed(docs, "doc_id", "text"), "k1", "k2", "text", "cut").select(
+    return marked(keyed(docs, "doc_id", "text"), "k1", "k2", "text", "cut", words=True).select(
         "doc_id",
         F.octet_length(text).cast("long").alias("n_bytes"),
         F.coalesce(removed, zero).alias("n_removed"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from palaver.llm import suffix_dedup
 
 WORDS = [a + b for a in "ka lo mi ne pu ra si to ve wu".split() for b in "ban der fil gom hus jin kel lor mat nos".split()]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -66,3 +67,20 @@ def test_repeats_of_51_words_go(spark):
     assert all(len(" ".join(prose(rng, 60))) < 400 for _ in range(20))
     got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, table(spark, rows), "").collect()}
     assert got == want
+
+
+def test_op8_text_is_without_short_passages_of_51_words(spark, tmp_path):
+    """A repeated passage of 60 words and under 400 bytes leaves ``text``; what the contract counts in bytes stays."""
+    rng = random.Random(33)
+    passage, long = prose(rng, 60), prose(rng, 90)
+    texts = [" ".join([*prose(rng, 30), f"a{k}", *passage, f"b{k}", *prose(rng, 30)]) for k in range(2)]
+    texts += [" ".join([f"c{k}", *passage, f"d{k}", *long, f"e{k}"]) for k in range(2)] + [" ".join(prose(rng, 100))]
+    assert len(" ".join(passage)) < 390 < 400 < len(" ".join(long))
+    table(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in suffix_dedup.op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    want = suffix_dedup.brute_force([t.encode() for t in texts])
+    for k, text in enumerate(texts):
+        assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == want[k]
+        assert (" ".join(passage) in got[k].text) is False
+        assert (got[k].text == text) is (k == 4)
+    assert got[0].n_removed == 0 < got[2].n_removed
