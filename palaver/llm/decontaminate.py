@@ -105,7 +105,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
     letters = items.agg(F.coalesce(F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 32)), F.lit(0))).collect()[0][0]
 
     lists = hits.groupBy("id").agg(F.collect_set(F.struct("item_id", "shift")).alias("hits"))
-    found = own.join(_small(lists, ROW_BYTES * hits.count()), "id").select("id", "words", F.explode("hits").alias("x"))
+    some = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(_small(lists, ROW_BYTES * hits.count()), "id")
+    found = some.select("id", tokens(F.col("text")).alias("words"), F.explode("hits").alias("x"))  # words of the rows that are hit alone
     pairs = found.select("id", "words", "x.item_id", "x.shift").join(
         _small(items.select("item_id", F.col("words").alias("item"), "n"), letters), "item_id"
     )

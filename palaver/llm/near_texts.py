@@ -43,8 +43,8 @@ BUCKET = 2048
 #: Cells of the table by which shingles are ordered as rare or frequent; the order needn't be exact, only the same for all.
 CELLS = 1 << 16
 _RNG = np.random.default_rng(20240517)
-XORS = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)[:, None]
-TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+XORS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
+TIMES = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 #: Shingles that are permuted at a time, whatever the length of a text.
 PIECE = 4096
 
@@ -55,12 +55,13 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def bands(own: np.ndarray) -> np.ndarray:
-    """The keys of a set's buckets."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for k in range(0, len(own), PIECE):
-        x = (own[None, k : k + PIECE] ^ XORS) * TIMES
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0xD6E8FEB86659FD93)
+    """The keys of a set's buckets. Samples are of 32 bits of the hashes, which a processor permutes several at a time."""
+    least, half = np.full(BANDS * ROWS, ~np.uint32(0)), (own >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(half), PIECE):
+        x = half[None, k : k + PIECE] ^ XORS
+        x *= TIMES
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
         least = np.minimum(least, x.min(axis=1))
     keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
     return np.array(keys, dtype=np.uint64)
